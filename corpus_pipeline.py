@@ -1 +1,63 @@
-STAGES = []
+"""A corpus pipeline: quality, language, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumspark.llm import language, minhash_dedup, packing, quality
+from vellumspark.llm.common import fresh_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is under 0.5 go."""
+    model = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.select(*COLUMNS), model, name="__score").where("__score >= 0.5").select(*COLUMNS)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language isn't clear go: no letter at all, or no language with a chance of a half."""
+    model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = language.identify(docs.select(*COLUMNS), model, "text", None, F.col("source"), "__language")
+    return found.where("__language_kept").select(*COLUMNS)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of smallest doc_id; rows that repeat a doc_id count as one."""
+    found = minhash_dedup.near_duplicates(docs)
+    ids = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    stay = docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    lone = docs.select(*COLUMNS).where("doc_id is null")
+    if not lone.limit(1).count():
+        return stay
+    # rows without an id stay once per text if no row with an id has their words
+    numbered = lone.dropDuplicates(["text"])
+    kept = docs.select(*COLUMNS).where("doc_id is not null").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h")).distinct()
+    return stay.unionByName(numbered.join(kept, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"), "left_anti"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of up to 2048 tokens."""
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", good_quality), ("language", known_language), ("near_duplicates", one_of_near_duplicates), ("packing", packed)]
+
+#: Learned models, signatures and tokenizers aren't SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

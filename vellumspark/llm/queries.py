@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumspark.llm import byte_bpe, packing, sharding, token_files
+from vellumspark.llm import byte_bpe, language, lm_score, minhash_dedup, packing, quality, sharding, token_files, vector_dedup, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,39 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by text and source, pages by text, markup, address and host."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("markup"), F.col("source").alias("host"))
+    html = F.col("html")
+    rows = rows.union(pages.select(none.cast("long"), "page_id", language.visible_text(html), language.declared_language(html), language.host_of(F.col("url"))))
+    found = language.identify(rows, language.train(docs), "text", F.col("markup"), F.col("host"))
+    return found.select("doc_id", "page_id", "language", F.round("posterior", 6).alias("posterior"), F.col("language_kept").alias("kept"))
+
+
+def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), True, 1)
 
@@ -30,5 +60,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op4_hash_tree_shards, op8_token_files, op9_packing)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good are the target."""
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_language_id, op3_probminhash_dedup, op4_hash_tree_shards, op5_exact_top_k, op6_compression_quality, op7_vector_dedup, op8_token_files, op9_packing, op10_lm_score, pipeline)
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -66,7 +66,7 @@ class ByteBpeUnits:
     encode_many: maps distinct strings to the bytes of their ids.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 350_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 120_000):
         self.encode_many = encode_many
         self.spaced, self.raw = Generations(limit), Generations(limit // 4)
 
@@ -117,7 +117,7 @@ class ByteBpeUnits:
 class WordBpeUnits:
     """The same for BPE with word ends that lower-cases and drops white space."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000):
         self.encode_many = encode_many
         self.words = Generations(limit)
 
