@@ -16,7 +16,7 @@ TIERS = (256, 512, 1024, 2048)
 #: Tokens of one step group; each group takes sequences of one tier and holds as many tokens as any other.
 STEP_TOKENS = 16 * 2048
 #: Ids that a task gathers before it packs them.
-CHUNK_IDS = 4 << 20
+CHUNK_IDS = 1 << 20
 
 
 class Pool:
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4096], t) for c, t in zip(cols, types, strict=True)], names)
 
         types = None
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             types = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             for doc, x in zip(b.column("doc_id").to_pylist(), units.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 x += tail

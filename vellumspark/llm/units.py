@@ -114,34 +114,72 @@ class ByteBpeUnits:
         return out
 
 
-class WordBpeUnits:
+class Kept(dict):
+    """A bounded map that makes what it lacks: what is used again moves to the younger of two generations."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, k):
+        v = self.old.get(k)
+        if v is None:
+            v = self.make(k)
+        if len(k) <= KEEP_LEN:
+            self[k] = v
+        return v
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+class LibraryByteUnits:
+    """Byte-level BPE like ByteBpeUnits, a unit at a time: `encode` gives the bytes of a string's ids, `split` the matches in it, if any."""
+
+    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str] | None], limit: int = 500_000):
+        self.one, self.split = encode, split
+        self.raw = Kept(self._raw, limit // 5)
+        self.spaced = Kept(lambda k: self._raw(" " + k), limit)
+
+    def _raw(self, unit: str) -> bytes:
+        parts = self.split(unit)
+        if not parts or len(parts) == 1:
+            return self.one(unit)
+        return b"".join([self.spaced[p[1:]] if p[:1] == " " and len(p) > 1 else self.raw[p] for p in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.raw.turn()
+        self.spaced.turn()
+        raw, spaced, out = self.raw.__getitem__, self.spaced.__getitem__, []
+        for t in texts:
+            if RISKY.search(t):
+                out.append(b"".join(map(raw, BOUNDARY.split(t))))
+            else:
+                first, *rest = t.split(" ")
+                out.append(raw(first) + b"".join(map(spaced, rest)))
+        return out
+
+
+class LibraryWordUnits:
     """The same for BPE with word ends that lower-cases and drops white space."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000):
-        self.encode_many = encode_many
-        self.words = Generations(limit)
+    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str] | None], limit: int = 350_000):
+        self.one, self.split = encode, split
+        self.words = Kept(self._word, limit)
+
+    def _word(self, k: bytes) -> bytes:
+        x = k.decode()
+        parts = self.split(x)
+        if not parts or len(parts) == 1:
+            return self.one(x)
+        return b"".join([self.words[p.encode()] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        self.words.turn()
+        word, out = self.words.__getitem__, []
         for t in texts:
             b = t.encode()
-            cut.append(b.split() if b"<|" in b else b.lower().split())
-        self.words.turn()
-        young = self.words.young
-        plans = []
-        for k in self.words.missing(set().union(*cut)):
-            if k.isalpha():
-                plans.append((k, (k,)))
-                continue
-            stem = len(k) > 1 and k[-1:] in (b",", b".") and k[-2:-1].isalnum()
-            plans.append((k, (k[:-1], k[-1:]) if stem else (k,)))
-        new = list({a for _, parts in plans for a in parts if a not in young})
-        known = dict(zip(new, self.encode_many([a.decode() for a in new]), strict=True))
-        for k, parts in plans:
-            young[k] = b"".join([known[a] if a in known else young[a] for a in parts])
-        for a in new:
-            young.setdefault(a, known[a])
-        out = [b"".join(map(young.__getitem__, units)) for units in cut]
-        for k in [k for k in (*new, *(k for k, _ in plans)) if len(k) > KEEP_LEN]:
-            young.pop(k, None)
+            out.append(b"".join(map(word, b.split() if b"<|" in b else b.lower().split())))
         return out

@@ -6,8 +6,12 @@ import base64
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
+import public_tokenizers
+import regex
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
@@ -27,37 +31,49 @@ def _byte_letters() -> dict[int, str]:
 
 
 #: Letters whose class and lower case are the same in every Unicode version in use.
-SETTLED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e"
+PLAIN = re.compile(f" ?[{LETTERS}]+")
+SETTLED = re.compile(f"[\n -~{LETTERS}]*")
+#: What the lower-casing vocabulary's file splits words by (fixed value).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def library_ids(path: str, words: bool = False):
-    """Distinct strings to the bytes of their ids (little-endian unsigned 32-bit), by the tokenizers library.
+def library_encoder(path: str, words: bool = False) -> tuple[Callable[[str], bytes], Callable[[str], list[str] | None]]:
+    """Two functions: a string to the bytes of its ids (little-endian unsigned 32-bit), by the tokenizers library; a string to the matches it may be cut into.
 
-    A run of plain letters is one match of either pattern, so it goes straight to the library's
-    model; anything else goes through all of its steps.
+    A single match of plain characters goes straight to the library's model; other strings go
+    through all of its steps and aren't cut.
     """
     t = library_tokenizer(path)
-    merge, letters, plain = t.model.tokenize, _byte_letters(), SETTLED.fullmatch
+    merge, letters = t.model.tokenize, _byte_letters()
+    plain, settled = PLAIN.fullmatch, SETTLED.fullmatch
+    find = regex.compile(WORD_PATTERN if words else public_tokenizers.PATTERN).findall
+
+    def split(x: str) -> list[str] | None:
+        if plain(x):
+            return None
+        if not settled(x) or "<|" in x:
+            return []
+        return find(x.lower() if words else x)
 
-    def encode_many(texts: list[str]) -> list[bytes]:
-        out = []
-        for x in texts:
-            if plain(x, 0 if words or x[:1] != " " else 1):
-                y = (x.lower() if words else x).encode().decode("latin-1").translate(letters)
-                out.append(array("I", [k.id for k in merge(y)]).tobytes())
-            else:
-                out.append(array("I", t.encode(x, add_special_tokens=False).ids).tobytes())
-        return out
+    def encode(x: str) -> bytes:
+        parts = split(x)
+        if parts is None or len(parts) == 1:
+            if words:
+                x = x.lower()
+            y = x.encode().decode("latin-1").translate(letters) if not x.isascii() or "\n" in x else "\u0120" + x[1:] if x[:1] == " " else x
+            return array("I", [k.id for k in merge(y)]).tobytes() if " " not in y else array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
+        return array("I", t.encode(x, add_special_tokens=False).ids).tobytes()
 
-    return encode_many
+    return encode, split
 
 
 @lru_cache(maxsize=4)
 def library_units(path: str, words: bool):
     """The cached encoder over a vocabulary file; words: lower-cased BPE with word ends."""
-    from vellumspark.llm.units import ByteBpeUnits, WordBpeUnits
+    from vellumspark.llm.units import LibraryByteUnits, LibraryWordUnits
 
-    return (WordBpeUnits if words else ByteBpeUnits)(library_ids(path, words))
+    return (LibraryWordUnits if words else LibraryByteUnits)(*library_encoder(path, words))
 
 
 @lru_cache(maxsize=4)
