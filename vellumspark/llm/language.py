@@ -155,10 +155,10 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
 
     domains = hosts.where("d is not null").groupBy("d").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
     domains = domains.select(F.col("d").alias("d2"), F.array(*smooth([F.lit(float(x)) for x in whole])).alias("dp"))
-    priors = hosts.where("h is not null").join(domains, F.col("d") == F.col("d2")).select("h", F.array(*smooth([F.col("dp")[i] for i in range(n)])).alias("prior"))
+    priors = hosts.where("h is not null").join(domains, F.col("d") == F.col("d2")).select(F.col("h").alias("__h"), F.array(*smooth([F.col("dp")[i] for i in range(n)])).alias("__prior"))
     few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = scored.join(F.broadcast(priors) if few else priors, F.col("__host") == F.col("h"), "left")
-    prior = F.coalesce("prior", F.array(*[F.lit(float(x)) for x in whole]))
+    joined = scored.join(F.broadcast(priors) if few else priors, F.col("__host") == F.col("__h"), "left")
+    prior = F.coalesce("__prior", F.array(*[F.lit(float(x)) for x in whole]))
     suffix = F.substring_index("__host", ".", -1)
     country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[F.coalesce(suffix, F.lit(""))]
     parts = [F.when(F.col("__letters"), F.col("__text")).otherwise(F.array(*[F.lit(0.0)] * n)), _match(F.coalesce("__markup", F.lit("")), langs, MARKUP_TRUST), _match(F.coalesce(country, F.lit("")), langs, SUFFIX_TRUST)]
