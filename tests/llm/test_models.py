@@ -91,10 +91,17 @@ def brute_losses(docs, target):
     entry = lambda w: hashes[w] % (lm_score.WORDS - 1) + 1
     tables = [(Counter(), Counter(), [0, 0]) for _ in range(2)]
 
+    def bucket(prev, w):
+        """The table's rule in whole numbers of 64 bits."""
+        x = ((0 if prev is None else hashes[prev]) * 0x9E3779B97F4A7C15 + hashes[w]) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return (x ^ x >> 31) % lm_score.PAIRS
+
     def grams(words):
         prev = None
         for w in words:
-            yield entry(w), 0 if prev is None else entry(prev), (prev, w)
+            yield entry(w), 0 if prev is None else entry(prev), bucket(prev, w)
             prev = w
 
     def count(m, words, sign):
@@ -136,7 +143,7 @@ def test_lm_scores_equal_brute_force(spark):
     assert len(rows) == len(want)
     for r in rows:
         n, t, b = want[r.doc_id]
-        assert r.n_tokens == n and r.target_loss == pytest.approx(t, abs=2e-3) and r.background_loss == pytest.approx(b, abs=2e-3) and r.score == pytest.approx(r.background_loss - r.target_loss)
+        assert r.n_tokens == n and r.target_loss == pytest.approx(t, abs=1e-9) and r.background_loss == pytest.approx(b, abs=1e-9) and r.score == pytest.approx(r.background_loss - r.target_loss)
 
 
 def test_lm_tells_quality(spark):
