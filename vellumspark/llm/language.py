@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import slices
+from vellumspark.llm.common import slices, stored
 
 #: Labelled rows to learn each language from, their most bytes, and the most languages (those of most rows).
 ROWS, MOST_BYTES, MOST_LANGUAGES = 600, 16384, 64
@@ -144,7 +144,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
     p = _normal(F.col("__text"))
     hosts = scored.where("__letters").select("__host", p.alias("p")).groupBy("__host").agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
     hosts = hosts.select(F.col("__host").alias("h"), domain_of(F.col("__host")).alias("d"), *[f"s{i}" for i in range(n)])
-    hosts = hosts.sparkSession.createDataFrame(hosts.collect(), hosts.schema) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
+    hosts = stored(hosts, "language-hosts")
     total = hosts.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).collect()[0]
     whole = np.array([(x or 0.0) + 1.0 for x in total])
     whole /= whole.sum()

@@ -81,6 +81,14 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
     fit = F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     classes = stored(rows.where(fit).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vec-classes")
     bits, tables = table_plan(classes.count(), least, miss)
+    code = np.uint16 if bits <= 16 else np.uint64
+
+    kind = np.float32 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+
+    def units(vectors: list[bytes]) -> np.ndarray:
+        x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def coded(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -91,14 +99,15 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
             for n in np.unique(lens).tolist():
                 own = np.flatnonzero(lens == n)
                 x = np.stack([flat[at[i] : at[i] + n] for i in own])
-                codes = sign_codes(x, bits, tables)
-                x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
+                codes = sign_codes(x, bits, tables).astype(code)
+                kept = [r.tobytes() for r in x.astype(kind)]
                 yield pa.RecordBatch.from_arrays(
-                    [reps.take(pa.array(own)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64())), b.column("n").take(pa.array(own))], ["rep", "unit", "codes", "n"]
+                    [reps.take(pa.array(own)), pa.array([n] * len(own), pa.int32()), pa.array(kept, pa.binary()), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int64())), b.column("n").take(pa.array(own))],
+                    ["rep", "len", "vector", "all", "codes", "n"],
                 )
 
-    unit = stored(classes.mapInArrow(coded, "rep long, unit binary, codes array<long>, n long"), "vec-codes")
-    held = unit.select("rep", F.length("unit").alias("len"), F.posexplode("codes").alias("t", "code"))
+    unit = stored(classes.mapInArrow(coded, "rep long, len int, vector binary, all binary, codes array<long>, n long"), "vec-codes")
+    held = unit.select("rep", "len", F.posexplode("codes").alias("t", "code"))
     sizes = held.groupBy("len", "t", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "t"), F.col("parts")).cast("int")
@@ -106,7 +115,7 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.xxhash64("len", "t", "code", F.least("own", "other"), F.greatest("own", "other"))
     placed = placed.select("rep", "t", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "len", key.alias("key"))
-    met = placed.join(unit, "rep").repartition(F.col("key")).sortWithinPartitions("len", "t", "code", "i", "j")
+    met = placed.join(unit.select("rep", "vector", "all", "n"), "rep").repartition(F.col("key")).sortWithinPartitions("len", "t", "code", "i", "j")
 
     def meet(batches: Iterator[pa.RecordBatch]):
         rest = None
@@ -128,8 +137,8 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
     def compare(table: pa.Table, starts: np.ndarray):
         rep, n = (np.asarray(table[c].combine_chunks()) for c in ("rep", "n"))
         lens, t, own, i, j = (np.asarray(table[c].combine_chunks()) for c in ("len", "t", "own", "i", "j"))
-        codes = np.asarray(table["codes"].combine_chunks().flatten()).reshape(len(rep), -1)
-        units = table["unit"].combine_chunks()
+        codes = np.frombuffer(b"".join(table["all"].to_pylist()), code).reshape(len(rep), -1)
+        vectors = table["vector"].combine_chunks()
         ends = np.append(starts[1:], len(rep))
         a_all, b_all = [], []
         sizes, size_of = ends - starts, lens[starts]
@@ -138,13 +147,13 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
             rows = np.concatenate([np.arange(s, e) for s, e in zip(starts[small], ends[small], strict=True)]) if small.any() else np.empty(0, int)
             for at in _runs(sizes[small], 1 << 16):
                 part, rows = rows[: at.sum()], rows[at.sum() :]
-                x = np.frombuffer(b"".join(units.take(pa.array(part)).to_pylist())).reshape(len(part), -1)
+                x = units(vectors.take(pa.array(part)).to_pylist())
                 p, q = _pairs(at)
                 hit = np.einsum("ij,ij->i", x[p], x[q]) >= least
                 a_all.append(part[p[hit]])
                 b_all.append(part[q[hit]])
         for s, e in zip(starts[sizes > 32].tolist(), ends[sizes > 32].tolist(), strict=True):
-            x = np.frombuffer(b"".join(units.slice(s, e - s).to_pylist())).reshape(e - s, -1)
+            x = units(vectors.slice(s, e - s).to_pylist())
             p, q = np.nonzero(np.triu(x @ x.T >= least, 1))
             a_all.append(s + p)
             b_all.append(s + q)
