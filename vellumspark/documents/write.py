@@ -62,6 +62,27 @@ class Writer:
         self.kids.append(ref)
         return ref
 
+    def set_rotation(self, page: Ref, rotate: int) -> None:
+        if rotate not in ROTATIONS:
+            raise ValueError("pages turn by 0, 90, 180 or 270")
+        self.objects[page.num]["Rotate"] = rotate
+
+    def set_box(self, page: Ref, box: list[float], name: str = "MediaBox") -> None:
+        self.objects[page.num][name] = box
+
+    def add_content(self, page: Ref, content: Ref) -> None:
+        d = self.objects[page.num]
+        held = d.get("Contents")
+        d["Contents"] = content if held is None else [*(held if isinstance(held, list) else [held]), content]
+
+    def add_resource(self, page: Ref, category: str, value: Any, name: str | None = None) -> None:
+        """A named resource goes into the category's dictionary, one without a name into its list."""
+        all_ = self.objects[page.num]["Resources"]
+        if name is None:
+            all_.setdefault(category, []).append(value if isinstance(value, Ref) else Name(value))
+        else:
+            all_.setdefault(category, {})[name] = value
+
     def copy(self, source: File, ref: Ref, done: dict[Ref, Any]) -> Any:
         """A reference in this file to a copy of all that `ref` reaches, shared through `done`; referenced scalars become values. No recursion, so cycles and depth don't matter."""
         todo: list[Ref] = []

@@ -195,3 +195,23 @@ def hexdump(c: Column) -> Column:
         return F.concat(F.lpad(to_hex(i.cast("long") * 16), 8, "0"), F.lit("  "), digits, F.lit(" "), shown)
 
     return F.transform(lines, line)
+
+
+def byte_range(c: Column, start: Column | int, length: Column | int | None = None) -> Column:
+    """Bytes from a place on; a negative place counts from the end."""
+    start = F.lit(start) if isinstance(start, int) else start
+    n = F.length(c)
+    at = F.when(start < 0, F.greatest(n + start, F.lit(0))).otherwise(start)
+    size = n if length is None else F.lit(length) if isinstance(length, int) else length
+    return F.substring(c, (at + 1).cast("int"), size.cast("int"))
+
+
+def xref_line(offset: Column, gen: Column, kind: Column) -> Column:
+    """The 20 bytes of a cross-reference entry: offset, generation, n or f."""
+    return F.format_string("%010d %05d %s \n", offset.cast("long"), gen.cast("long"), kind)
+
+
+def run_machine(events: Column, transitions: dict[tuple[str, str], str], start: str) -> Column:
+    """The state after an array of events; an event without a transition from the present state changes nothing."""
+    table = F.create_map(*[F.lit(x) for (s, e), t in transitions.items() for x in (f"{s}\x00{e}", t)])
+    return F.aggregate(events, F.lit(start), lambda s, e: F.coalesce(table[F.concat(s, F.lit("\x00"), e)], s))

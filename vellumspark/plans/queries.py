@@ -304,3 +304,43 @@ def ip_prefixes(t):
 def switch_plain(t):
     n = t("nation")
     return n.select("n_nationkey", F.when(F.col("n_name") == "x", 9).otherwise(F.col("n_regionkey")).cast("int").alias("place"), F.replace(fn.pure_ascii(F.lower("n_name")), F.lit("_"), F.lit("")).alias("plain"))
+
+
+@query("""select doc_id, source, printf('%010d %05d n ', coalesce(sum(octet_length(encode(text)) + 20) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) + 15, doc_id % 7) as line from documents""")
+def xref_lines(t):
+    """Entries of objects written one after another: offsets are running sums of their lengths."""
+    d = t("documents").select("doc_id", "source", (F.octet_length("text") + 20).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    return d.select("doc_id", "source", F.regexp_replace(fn.xref_line(F.coalesce(before, F.lit(0)) + 15, F.col("doc_id") % 7, F.lit("n")), "\n", "").alias("line"))
+
+
+MACHINE = {("idle", "view"): "looking", ("looking", "click"): "busy", ("busy", "purchase"): "done", ("done", "view"): "looking", ("busy", "view"): "looking"}
+
+
+@query("""select user_id, list_reduce(list_prepend('idle', list(event_type order by event_id)), lambda s, e: case when s = 'idle' and e = 'view' then 'looking'
+when s = 'looking' and e = 'click' then 'busy' when s = 'busy' and e = 'purchase' then 'done' when s in ('done', 'busy') and e = 'view' then 'looking' else s end) as state from events group by user_id""")
+def state_machine(t):
+    e = t("events").select("user_id", F.struct("event_id", "event_type").alias("e")).groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("l"))
+    return e.select("user_id", fn.run_machine(F.transform("l", lambda x: x["event_type"]), MACHINE, "idle").alias("state"))
+
+
+@query("select event_id, unnest(json_keys(props)) as key, length(props) as size from events")
+def dict_iterate(t):
+    """A row per entry of each dictionary."""
+    e = t("events").select("event_id", "props", F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("key"))
+    return e.select("event_id", "key", F.length("props").cast("long").alias("size"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then -o_orderkey else o_orderkey end as value from orders where o_orderstatus is not null")
+def number_round_trip(t):
+    """Numbers as text and back."""
+    n = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    return t("orders").where("o_orderstatus is not null").select("o_orderkey", fn.parse_number(fn.print_number(n)).cast("long").alias("value"))
+
+
+@query("""select doc_id, '/' || array_to_string(list_transform(regexp_extract_all(text[1:40], '(?s).'), lambda c: case when regexp_full_match(c, '[!-~]') and not contains('()<>[]{}/%#', c) then c
+else regexp_replace(hex(encode(c)), '(..)', '#\\1', 'g') end), '') as name, text[1:40] as back from documents""")
+def name_round_trip(t):
+    """The first 40 characters as a name, and read back."""
+    d = t("documents").select("doc_id", fn.escape_name(F.substring("text", 1, 40)).alias("name"))
+    return d.select("doc_id", "name", fn.parse_name(F.col("name")).alias("back"))
