@@ -84,15 +84,15 @@ def inherit_tree(nodes: DataFrame, attributes: list[str], doc: str = "doc_id", k
 def longest_prefix(rows: DataFrame, text: Column, prefixes: DataFrame, most: int = 128) -> DataFrame:
     """Adds prefix and prefix_length: the longest of prefixes (prefix) that the text starts with, -1 if none.
 
-    One equi-join on the text's heads of the lengths that occur; the lengths are a list of at most `most` numbers.
+    Distinct texts are joined by their heads of the lengths that occur (at most `most` numbers, one row), then the rows by their text.
     """
     lengths = prefixes.where(F.length("prefix") <= most).select(F.length("prefix").alias("__n")).distinct().agg(F.collect_set("__n").alias("__ns"))
     known = prefixes.select("prefix").distinct()
-    keyed = rows.withColumn("__id", F.monotonically_increasing_id())
-    heads = keyed.select("__id", text.alias("__t")).join(F.broadcast(lengths)).select("__id", F.explode("__ns").alias("__n"), "__t").where(F.length("__t") >= F.col("__n"))
-    heads = heads.select("__id", F.col("__t").substr(F.lit(1), F.col("__n")).alias("prefix"))
-    best = heads.join(known, "prefix").groupBy("__id").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
-    out = keyed.join(best, "__id", "left").drop("__id")
+    keyed = rows.withColumn("__t", text)
+    heads = keyed.select("__t").distinct().join(F.broadcast(lengths)).select("__t", F.explode("__ns").alias("__n")).where(F.length("__t") >= F.col("__n"))
+    heads = heads.select("__t", F.col("__t").substr(F.lit(1), F.col("__n")).alias("prefix"))
+    best = heads.join(known, "prefix").groupBy("__t").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    out = keyed.join(best, "__t", "left").drop("__t")
     return out.withColumn("prefix_length", F.coalesce(F.length("prefix"), F.lit(-1)).cast("long"))
 
 
