@@ -66,6 +66,14 @@ def test_host_priors_are_smoothed_as_written(spark):
     assert {round(r.posterior, 6) for r in got} == {0.5} and {r.language for r in got} == {"a"}  # even evidence: ties go to the first
 
 
+def test_long_texts_are_summed_in_parts(spark, odd_docs, monkeypatch):
+    model = language.train(odd_docs)
+    whole = language.text_likelihoods(odd_docs, model).collect()
+    table, texts = model.table, [language._text_bytes(r.text) for r in odd_docs.collect()]
+    parts = [sum(language._sums(table, [x[at : at + 102]])[0] for at in range(0, max(1, len(x) - 2), 100)) for x in texts]
+    assert np.allclose(np.array(parts), language._sums(table, texts)) and len(whole) == 12
+
+
 def test_language_of_nothing(spark, no_docs, odd_docs):
     model = language.train(no_docs)
     assert model.languages == ["und"]

@@ -15,6 +15,8 @@ from vellumspark.llm.common import slices, stored
 
 #: Labelled rows to learn each language from, their most bytes, and the most languages (those of most rows).
 ROWS, MOST_BYTES, MOST_LANGUAGES = 600, 16384, 64
+#: Bytes of a text that are looked up at once; a longer one is taken in parts that overlap by two bytes.
+AT_ONCE = 1 << 20
 #: Hash buckets of byte triples.
 BUCKETS = 1 << 16
 #: A text counts as at most so many independent triples.
@@ -68,6 +70,16 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)))
 
 
+def _sums(table: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Log likelihood of each text under each language."""
+    lens = np.array([len(x) for x in texts])
+    places = _triples(np.frombuffer(b"".join(texts) + b"  ", np.uint8))
+    starts = np.cumsum(lens) - lens
+    own = np.repeat(np.arange(len(lens)), lens)
+    inside = np.arange(len(own)) < (starts + lens - 2)[own]
+    return np.stack([np.bincount(own[inside], row[places[: len(own)]][inside], len(lens)) for row in table], axis=1)
+
+
 def text_likelihoods(rows: DataFrame, model: Model, text: str = "text", name: str = "likelihood") -> DataFrame:
     """Adds (or replaces) `name`: an array of the text's log likelihood under each language, less the greatest, or zeros for a text without a letter. Whole texts, no shuffle."""
     kept = [c for c in rows.columns if c != name]
@@ -77,11 +89,10 @@ def text_likelihoods(rows: DataFrame, model: Model, text: str = "text", name: st
         for b in slices(batches, text, 1 << 20):
             made = [_text_bytes(t) for t in b.column(text).to_pylist()]
             lens = np.array([len(x) for x in made])
-            places = _triples(np.frombuffer(b"".join(made) + b"  ", np.uint8))
-            starts = np.cumsum(lens) - lens
-            own = np.repeat(np.arange(len(lens)), lens)
-            inside = np.arange(len(own)) < (starts + lens - 2)[own]
-            sums = np.stack([np.bincount(own[inside], row[places[: len(own)]][inside], len(lens)) for row in model.table], axis=1)
+            sums = _sums(model.table, [x if len(x) <= AT_ONCE else b"" for x in made])
+            for i in np.flatnonzero(lens > AT_ONCE).tolist():
+                x = made[i]
+                sums[i] = sum(_sums(model.table, [x[at : at + AT_ONCE + 2]])[0] for at in range(0, len(x) - 2, AT_ONCE))
             n = np.maximum(1, lens - 2)
             sums *= (MOST_TRIPLES / (MOST_TRIPLES + n))[:, None]
             sums -= sums.max(axis=1, keepdims=True)
