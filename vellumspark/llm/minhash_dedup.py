@@ -24,6 +24,8 @@ LEAST_EQUAL = 0.6
 BLOCK = 512
 #: Most ids of documents to check that are broadcast (16 MB); beyond it, texts are joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Bytes of text that are signed together.
+SIGN_BYTES = 2 << 20
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -104,18 +106,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(both) - same)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, least: float, words: int, name: str) -> DataFrame:
-    """Pairs (a, b) whose texts' distinct shingles have a Jaccard similarity of `least` or more, stored."""
-    ids = stored(pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct(), f"{name}-ids")
+def _sets(docs: DataFrame, ids: DataFrame, words: int, name: str) -> DataFrame:
+    """id and s (its distinct shingles, rising) of the documents whose ids are listed, stored."""
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SIGN_BYTES):
             made = shingles([t or "" for t in b.column("text").to_pylist()], words)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for _, s, _ in made], pa.binary())], ["id", "s"])
 
-    held = stored(texts.select("doc_id", "text").mapInArrow(sets, "id long, s binary"), f"{name}-sets")
+    return stored(texts.select("doc_id", "text").mapInArrow(sets, "id long, s binary"), f"{name}-sets")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, least: float, words: int, name: str) -> DataFrame:
+    """Pairs (a, b) whose texts' distinct shingles have a Jaccard similarity of `least` or more, stored."""
+    ids = stored(pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct(), f"{name}-ids")
+    held = _sets(docs, ids, words, name)
     both = pairs.join(held.selectExpr("id as b", "s as sb"), "b").join(held.selectExpr("id as a", "s as sa"), "a")
 
     def check(batches: Iterator[pa.RecordBatch]):
@@ -152,38 +159,43 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
 
     Copies form a class first and go on as one. Each band bucket then compares its classes with its
     least one; that settles groups of many similar texts without their pairs. Buckets that still hold
-    more than one component get all of their remaining pairs compared, in blocks, by their registers.
-    What passes is checked on the whole texts' shingles, so similar texts are missed only if they
-    share no band.
+    more than one component get all of their remaining pairs compared, in blocks: by their registers, and
+    where those are alike on the whole texts' shingles. Only links that join components leave a block.
+    So similar texts are missed only if they share no band.
     """
     size = bands * rows
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SIGN_BYTES):
             made = shingles(b.column("text").to_pylist(), words)
             sig = signatures([(s, weights(n)) for _, s, n in made], size).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([k for k, _, _ in made], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "key", "sig"])
+        pa.default_memory_pool().release_unused()
 
     signed = stored(base.mapInArrow(sign, "doc_id long, key binary, sig binary"), "doc-signatures")
     classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep")), "doc-classes")
     reps = stored(signed.join(classes.where("rep is not null"), (signed["key"] == classes["key"]) & (signed["doc_id"] == classes["rep"])).select("rep", signed["key"], "sig").dropDuplicates(["rep", "key"]).select("rep", "sig"), "doc-reps")
 
     band = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i"), "sig")
-    band = band.select("rep", F.xxhash64("i", F.expr(f"substring(sig, i * {4 * rows} + 1, {4 * rows})")).alias("bucket"))
+    band = band.select("rep", F.col("i").alias("band"), F.xxhash64("i", F.expr(f"substring(sig, i * {4 * rows} + 1, {4 * rows})")).alias("bucket"))
     leads = band.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(band.join(leads, "bucket"), "doc-members")
     pairs = members.where("rep <> lead").selectExpr("lead as a", "rep as b").distinct()
-    found = _verified(base, _likely(pairs, reps, size, "doc-likely"), least, words, "doc-first")
+    likely = _likely(pairs, reps, size, "doc-likely")
+    found = _verified(base, likely, least, words, "doc-first")
     component = connected_components(found, "doc-components")
+    made = [signed, classes, reps, members, likely, found, component]
 
-    settled = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "lead", F.coalesce("component", "rep").alias("component"))
+    settled = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", "lead", F.coalesce("component", "rep").alias("component"))
     mixed = settled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     open_ = settled.join(mixed, "bucket").where("rep <> lead").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_ = open_.select("bucket", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rest = open_.join(reps, "rep").repartition(F.xxhash64("bucket", "i", "j")).sortWithinPartitions("bucket", "i", "j")
+    open_ = stored(open_.select("bucket", "band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "doc-open")
+    held = _sets(base, open_.select(F.col("rep").alias("id")).distinct(), words, "doc-open") if open_.limit(1).count() else None
+    rest = open_ if held is None else open_.join(reps, "rep").join(held, F.col("rep") == F.col("id")).drop("id")
+    rest = rest.repartition(F.xxhash64("bucket", "i", "j")).sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]):
         held = None
@@ -202,26 +214,60 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
         return np.flatnonzero(np.concatenate([[True], (cols[:, 1:] != cols[:, :-1]).any(axis=0)])).tolist()
 
     def meet(table: pa.Table):
-        rep, component, own, i, j = (np.asarray(table[c].combine_chunks()) for c in ("rep", "component", "own", "i", "j"))
+        rep, component, own, i, j, at_band = (np.asarray(table[c].combine_chunks()) for c in ("rep", "component", "own", "i", "j", "band"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, size)
+        sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
+        lens = np.array([len(x) for x in sets])
         equal = np.zeros((len(rep), len(rep)), np.int16)
-        for c in range(size):
-            equal += sig[:, c][:, None] == sig[:, c][None, :]
-        hit = (equal >= LEAST_EQUAL * size) & (component[:, None] != component[None, :])
+        before = np.zeros((len(rep), len(rep)), bool)  # pairs that an earlier band compares
+        for k in range(bands):
+            whole = np.ones((len(rep), len(rep)), bool)
+            for c in range(rows * k, rows * k + rows):
+                same = sig[:, c][:, None] == sig[:, c][None, :]
+                equal += same
+                whole &= same
+            if k < at_band[0]:
+                before |= whole
+        hit = (equal >= LEAST_EQUAL * size) & (component[:, None] != component[None, :]) & ~before
         if i[0] != j[0]:
             hit &= own[:, None] != own[None, :]
-        a, b = np.nonzero(np.triu(hit, 1))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
-
-    more = stored(rest.mapInArrow(compare, "a long, b long").distinct(), "doc-more")
-    if more.limit(1).count():
-        found = found.union(_verified(base, more, least, words, "doc-second"))
-        component = connected_components(found, "doc-components")
+        hit = np.triu(hit, 1)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        found = []
+        for a in np.flatnonzero(hit.any(axis=1)).tolist():
+            b = np.flatnonzero(hit[a])
+            b = b[np.minimum(lens[a], lens[b]) >= least * np.maximum(lens[a], lens[b])]
+            if not len(b) or not lens[a]:
+                continue
+            both = np.concatenate([sets[x] for x in b])
+            place = np.minimum(np.searchsorted(sets[a], both), lens[a] - 1)
+            common = np.add.reduceat((sets[a][place] == both).astype(np.int64), np.cumsum(lens[b]) - lens[b])
+            for x in b[common >= least * (lens[a] + lens[b] - common)].tolist():
+                p, q = top(int(component[a])), top(int(component[x]))
+                if p != q:  # what has met already needs no further link
+                    up[max(p, q)] = min(p, q)
+                    found.append((int(rep[a]), int(rep[x])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([x for _, x in found])], ["a", "b"])
+
+    if held is not None:
+        more = stored(rest.mapInArrow(compare, "a long, b long").distinct(), "doc-more")
+        if more.limit(1).count():
+            component = connected_components(found.union(more), "doc-components")
+        made += [held, more, component]
+    made.append(open_)
 
     done = stored(classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component_id")), "doc-done")
     out = signed.select("doc_id", "key").join(done, F.col("key") == F.col("k"))
     out = stored(out.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")), "doc-out")
+    for x in (*made, done):
+        drop_stored(x)
     return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("__i")).drop("__i")
 
 
