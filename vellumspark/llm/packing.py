@@ -106,7 +106,7 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = True)
     return windows, []
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int, ...] = TIERS, words: bool = False, chunk_ids: int = CHUNK_IDS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int, ...] = TIERS, words: bool = False, chunk_ids: int = CHUNK_IDS, step_tokens: int = STEP_TOKENS, keep_units: int = 0) -> DataFrame:
     """Packs the encoded texts of all documents into sequences.
 
     docs: doc_id, text; other columns are ignored. A null text is empty and gives the `end` id alone
@@ -116,14 +116,14 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
     tier is the longest and which needs padding. step_group deals the sequences of a tier into groups
     of step_tokens tokens each; a task's last group of a tier may be smaller. Every task packs its own
     documents, so there is no shuffle, and its ids start with its partition number, which a repeated
-    task keeps.
+    task keeps. keep_units: encoded units that a worker's cache may hold, where memory is short.
     """
     tail = b"" if end is None else int(end).to_bytes(4, "little")
     rows = docs.select("doc_id", "text")
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        units = library_units(tokenizer, words)
+        units = library_units(tokenizer, words, keep_units)
         base = TaskContext.get().partitionId() << 32
         seq, by_tier = 0, dict.fromkeys(tiers, 0)
         held: list[tuple[object, bytes, int, int]] = []  # doc_id, ids from an offset on, that offset, tokens in all
@@ -146,8 +146,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
                 seq += 1
             held = [(held[d][0], held[d][1][4 * a : 4 * b], held[d][2] + a, held[d][3]) for d, a, b in rest]
             size = sum(len(x[1]) // 4 for x in held)
-            for i in range(0, len(cols[0]), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4096], t) for c, t in zip(cols, types, strict=True)], names)
+            for i in range(0, len(cols[0]), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 1024], t) for c, t in zip(cols, types, strict=True)], names)
 
         types = None
         for b in slices(batches, "text", 1 << 20):
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
                     yield from out(False)
         if held:
             yield from out(True)
+        pa.default_memory_pool().release_unused()
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     return rows.mapInArrow(run, f"doc_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long")

@@ -69,11 +69,11 @@ def library_encoder(path: str, words: bool = False) -> tuple[Callable[[str], byt
 
 
 @lru_cache(maxsize=4)
-def library_units(path: str, words: bool):
-    """The cached encoder over a vocabulary file; words: lower-cased BPE with word ends."""
+def library_units(path: str, words: bool, keep: int = 0):
+    """The cached encoder over a vocabulary file; words: lower-cased BPE with word ends; keep: units of each generation that it keeps, if not its own number."""
     from vellumspark.llm.units import LibraryByteUnits, LibraryWordUnits
 
-    return (LibraryWordUnits if words else LibraryByteUnits)(*library_encoder(path, words))
+    return (LibraryWordUnits if words else LibraryByteUnits)(*library_encoder(path, words), **({"limit": keep} if keep else {}))
 
 
 @lru_cache(maxsize=4)
