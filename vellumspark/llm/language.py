@@ -63,9 +63,13 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
     languages = sorted(r.lang for r in counts)
     if not languages:
         return Model(["und"], np.zeros((1, BUCKETS)))
-    least = [known.where(F.col("lang") == x).select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(rows) for x in languages]
+    keys = known.select("lang", F.xxhash64("doc_id", "text").alias("h"))
+    least = reduce(DataFrame.union, [keys.where(F.col("lang") == x).orderBy("h").limit(rows) for x in languages]).distinct().collect()
+    # texts aren't sorted, only the hashes are; the chosen ones are at most MOST_LANGUAGES * rows
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(least, "__l string, __h long"))
     table = np.full((len(languages), BUCKETS), 0.5)
-    for r in reduce(DataFrame.union, least).select("lang", "text").toLocalIterator():
+    texts = known.join(chosen, (F.col("lang") == F.col("__l")) & (F.xxhash64("doc_id", "text") == F.col("__h")), "left_semi")
+    for r in texts.select("lang", "text").distinct().toLocalIterator():
         table[languages.index(r.lang)] += np.bincount(_triples(np.frombuffer(_text_bytes(r.text), np.uint8)), minlength=BUCKETS)
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)))
 
