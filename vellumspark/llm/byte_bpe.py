@@ -24,7 +24,10 @@ from vellumspark.llm.common import slices
 from vellumspark.llm.units import ByteBpeUnits
 from vellumspark.llm.vocab import rank_file
 
-MOST_PAIRS = 1 << 20
+#: Joins of token pairs that are remembered.
+MOST_PAIRS = 1 << 18
+#: Bytes of text whose words are replayed together.
+REPLAY_BYTES = 1 << 20
 
 
 class MergeReplay:
@@ -170,7 +173,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         units = _coder(path, pattern)[1]
-        for b in slices(batches, text):
+        for b in slices(batches, text, REPLAY_BYTES):
             out = units.encode([t or "" for t in b.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, ids])
 
@@ -184,7 +187,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str
 
     def run(batches):
         replay = _coder(path, pattern)[0]
-        for b in slices(batches, ids):
+        for b in slices(batches, ids, REPLAY_BYTES):
             out = [replay.decode(x or b"") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, text])
 
