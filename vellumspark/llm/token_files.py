@@ -61,7 +61,8 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     """Blocks of BLOCK ids each, the last maybe shorter."""
     out: list[bytes] = []
     full = len(ids) // BLOCK * BLOCK
-    for part, n in ((ids[:full], BLOCK), (ids[full:], len(ids) - full)):
+    step = 256 * BLOCK  # so many blocks at once
+    for part, n in (*((ids[i : min(full, i + step)], BLOCK) for i in range(0, full, step)), (ids[full:], len(ids) - full)):
         if not len(part):
             continue
         d = part.reshape(-1, n).astype(np.uint32)
@@ -74,7 +75,7 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
         for w in np.unique(widths).tolist():
             rows = np.flatnonzero(widths == w)
             own = d[rows]
-            high = (own.astype(np.uint64) >> np.uint64(w)).astype(np.uint32)
+            high = own >> np.uint32(w) if w < 32 else np.zeros_like(own)
             for i, row, body, h in zip(rows.tolist(), rows, _pack(own, w), high, strict=True):
                 odd = np.flatnonzero(h)
                 blocks[i] = HEAD.pack(int(least[row]), n, w, len(odd)) + body + odd.astype("<u2").tobytes() + h[odd].astype("<u4").tobytes()
@@ -82,16 +83,24 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:
     return out
 
 
-def decode_block(data: memoryview, at: int) -> np.ndarray:
-    least, n, w, odd = HEAD.unpack_from(data, at)
-    at += HEAD.size
-    size = _packed_len(n, w)
-    d = _unpack(np.frombuffer(data, np.uint8, size, at)[None, :], n, w)[0]
-    at += size
-    if odd:
-        places = np.frombuffer(data, "<u2", odd, at)
-        d[places] |= (np.frombuffer(data, "<u4", odd, at + 2 * odd).astype(np.uint64) << np.uint64(w)).astype(np.uint32)
-    return d + np.uint32(least)
+def decode_blocks(data: memoryview, starts: list[int]) -> np.ndarray:
+    """Ids of blocks that follow one another; those of one size and width are unpacked together."""
+    heads = [HEAD.unpack_from(data, at) for at in starts]
+    places = np.cumsum([0, *(h[1] for h in heads)])
+    out = np.empty(places[-1], np.uint32)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (_, n, w, _) in enumerate(heads):
+        alike.setdefault((n, w), []).append(k)
+    for (n, w), ks in alike.items():
+        size = _packed_len(n, w)
+        rows = np.frombuffer(b"".join([data[starts[k] + HEAD.size : starts[k] + HEAD.size + size] for k in ks]), np.uint8).reshape(len(ks), size)
+        for k, d in zip(ks, _unpack(rows, n, w), strict=True):
+            least, _, _, odd = heads[k]
+            if odd:
+                at = starts[k] + HEAD.size + size
+                d[np.frombuffer(data, "<u2", odd, at)] |= (np.frombuffer(data, "<u4", odd, at + 2 * odd).astype(np.uint64) << np.uint64(w)).astype(np.uint32)
+            out[places[k] : places[k + 1]] = d + np.uint32(least)
+    return out
 
 
 def file_bytes(docs: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -113,20 +122,14 @@ class TokenFile:
         null = np.frombuffer(data, np.uint8, docs, table + 8 * docs)
         self.docs = [None if z else x for x, z in zip(np.frombuffer(data, "<i8", docs, table).tolist(), null.tolist(), strict=True)]
         self.counts = np.frombuffer(data, "<u8", docs, table + 9 * docs).astype(np.int64)
-        self.starts = np.frombuffer(data, "<u8", -(-self.n // BLOCK), index)
-        self.held: tuple[int, np.ndarray] = (-1, np.empty(0, np.uint32))
-
-    def _block(self, k: int) -> np.ndarray:
-        if self.held[0] != k:
-            self.held = (k, decode_block(self.data, int(self.starts[k])))
-        return self.held[1]
+        self.starts = np.frombuffer(data, "<u8", -(-self.n // BLOCK), index).tolist()
 
     def ids(self, start: int, stop: int) -> np.ndarray:
+        """Ids from a place on; only the blocks that hold them are unpacked."""
         if start >= stop:
             return np.empty(0, np.uint32)
         first, last = start // BLOCK, (stop - 1) // BLOCK
-        parts = [self._block(k) for k in range(first, last + 1)]
-        return np.concatenate(parts)[start - first * BLOCK : stop - first * BLOCK] if len(parts) > 1 else parts[0][start - first * BLOCK : stop - first * BLOCK]
+        return decode_blocks(self.data, self.starts[first : last + 1])[start - first * BLOCK : stop - first * BLOCK]
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -137,7 +140,7 @@ def _whole_uri(path: str) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int | None = None, file_ids: int = 4 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int | None = None, file_ids: int = 1 << 20) -> DataFrame:
     """Encodes the whole texts and writes token files under `folder`, ascending by doc_id across and within files.
 
     docs: doc_id (long), text; other columns are ignored. A null doc_id comes first, a null text is
@@ -170,7 +173,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
             ids, own, held, seq = [], [], 0, seq + 1
             return row
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             for d, x in zip(b.column("doc_id").to_pylist(), units.encode(b.column("text").to_pylist()), strict=True):
                 own.append(d)
                 ids.append(x + tail)
@@ -200,13 +203,13 @@ def read(files: DataFrame) -> DataFrame:
                 store, name = _open(path)
                 with store.open_input_file(name) as f:
                     file = TokenFile(f.read())
-                stops = np.cumsum(file.counts)
+                stops, ids = np.cumsum(file.counts), file.ids(0, file.n).astype("<u4").tobytes()
                 held, docs, starts = [], [], []
                 size = 0
                 for d, stop, n in zip(file.docs, stops.tolist(), file.counts.tolist(), strict=True):
                     docs.append(d)
                     starts.append(start + stop - n)
-                    held.append(file.ids(stop - n, stop).astype("<u4").tobytes())
+                    held.append(ids[4 * (stop - n) : 4 * stop])
                     size += 4 * n
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "start", "ids"])

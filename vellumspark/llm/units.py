@@ -165,7 +165,7 @@ class LibraryByteUnits:
 class LibraryWordUnits:
     """The same for BPE with word ends that lower-cases and drops white space."""
 
-    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str] | None], limit: int = 350_000):
+    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str] | None], limit: int = 200_000):
         self.one, self.split = encode, split
         self.words = Kept(self._word, limit)
 
