@@ -171,3 +171,65 @@ def test_lm_of_odd_rows(spark, odd_docs, no_docs):
         assert math.isfinite(r.score) and (r.n_tokens > 0 or r.score == 0)
     assert lm_score.cross_entropy_difference(odd_docs, targets.limit(0)).count() == 12
     assert lm_score.cross_entropy_difference(no_docs, targets).count() == 0
+
+
+def exact_losses(docs, target):
+    """The same models from counts of real words and pairs."""
+    uni, bi, total, texts = ([Counter(), Counter()] for _ in range(4))
+
+    def grams(words):
+        return list(zip([None, *words], words, strict=False))
+
+    def count(m, words, sign):
+        for h, w in grams(words):
+            uni[m][w] += sign
+            bi[m][h, w] += sign
+        total[m][0] += sign * len(words)
+        texts[m][0] += sign * bool(words)
+
+    docs = [(d, (t or "").lower().split()) for d, t in docs]
+    for d, words in docs:
+        for m in range(1 + (d in target)):
+            count(m, words, 1)
+    size, out = len(uni[0]), []
+    for d, words in docs:
+        loss = []
+        for m in (0, 1):
+            mine = m <= (d in target)
+            if mine:
+                count(m, words, -1)
+            n = 0.0
+            for h, w in grams(words):
+                u = (uni[m][w] + lm_score.UNIFORM) / (total[m][0] + lm_score.UNIFORM * size)
+                n -= math.log((bi[m][h, w] + lm_score.BACKOFF * u) / ((texts[m][0] if h is None else uni[m][h]) + lm_score.BACKOFF))
+            loss.append(n / max(1, len(words)))
+            if mine:
+                count(m, words, 1)
+        out.append((str(d), len(words), round(loss[1], 8), round(loss[0], 8)))
+    return sorted(out)
+
+
+def as_exact(rows):
+    assert all(r.score == pytest.approx(r.background_loss - r.target_loss) for r in rows)
+    return sorted((str(r.doc_id), r.n_tokens, round(r.target_loss, 8), round(r.background_loss, 8)) for r in rows)
+
+
+def near(got, want):
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=3e-8)
+
+
+def test_registered_lm_scores_count_every_word_and_pair(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    target = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()}
+    near(as_exact(queries.op10_lm_score(spark, "/root/testdata/sf0.001").collect()), exact_losses(docs, target))
+
+
+def test_exact_lm_of_many_blocks_and_odd_rows(spark, odd_docs, no_docs):
+    targets = spark.createDataFrame([(1,), (1,), (None,), (99,)], "doc_id long")
+    want = exact_losses([(r.doc_id, r.text) for r in odd_docs.collect()], {1})
+    for rows in (odd_docs.coalesce(1), odd_docs.repartition(5)):
+        near(as_exact(lm_score.exact_cross_entropy_difference(rows.withColumn("score", F.lit("x")), targets).collect()), want)
+    none = lm_score.exact_cross_entropy_difference(odd_docs, targets.limit(0)).collect()
+    near(as_exact(none), exact_losses([(r.doc_id, r.text) for r in odd_docs.collect()], set()))
+    assert lm_score.exact_cross_entropy_difference(no_docs, targets).count() == 0
