@@ -83,3 +83,19 @@ def test_signatures_estimate_probability_jaccard():
 def test_registered_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: r.component_id for r in queries.op3_probminhash_dedup(spark, sf).collect()} == brute(rows)
+
+
+def test_repeated_passages_of_unequal_counts(spark):
+    """Distinct shingles alone decide: a passage once and 60 times, in texts that share all else but three words."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    rows = []
+    for k in range(80):
+        own, passage = [word() for _ in range(140)], [word() for _ in range(60)]
+        near = list(own)
+        for at in (20, 60, 100)[: k % 4]:
+            near[at] = word()
+        rows += [(2 * k, " ".join(own + passage)), (2 * k + 1, " ".join(near + passage * 60))]
+    want = brute(rows)
+    assert len(set(want.values())) == 80
+    assert {x.doc_id: x.component_id for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want

@@ -18,8 +18,8 @@ WORDS = 5
 LEAST = 0.8
 #: Bands and registers of each; a pair that is 0.8 similar shares no band with a chance of 3e-6.
 BANDS, ROWS = 24, 4
-#: Share of equal registers below which a pair isn't checked: five deviations under 0.8.
-LEAST_EQUAL = 0.6
+#: Shingles whose texts are compared at once.
+COLUMNS = 4096
 #: Classes of a band bucket that are compared at once after the first round.
 BLOCK = 512
 #: Most ids of documents to check that are broadcast (16 MB); beyond it, texts are joined by shuffle.
@@ -91,11 +91,6 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
     return kept.reshape(-1, size)
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """A shingle's weight grows with the logarithm of its count, so that one repeated line doesn't outweigh a text."""
-    return 1 + np.log(counts)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two rising arrays of distinct values."""
     if not len(a) or not len(b):
@@ -136,16 +131,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: float, words: int, name:
     return out
 
 
-def _likely(pairs: DataFrame, signed: DataFrame, size: int, name: str) -> DataFrame:
-    """Pairs of which enough registers are equal, stored."""
-    both = pairs.join(signed.selectExpr("rep as a", "sig as x"), "a").join(signed.selectExpr("rep as b", "sig as y"), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, size) for c in ("x", "y"))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_EQUAL))
-
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, back, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = (np.cumsum(n > 1) - 1)[back]
+    shared = np.flatnonzero(n[back] > 1)
+    shared = shared[np.argsort(column[shared], kind="stable")]
+    column, owner = column[shared], owner[shared]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        s, e = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[s:e], column[s:e] - at] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -159,9 +159,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
 
     Copies form a class first and go on as one. Each band bucket then compares its classes with its
     least one; that settles groups of many similar texts without their pairs. Buckets that still hold
-    more than one component get all of their remaining pairs compared, in blocks: by their registers, and
-    where those are alike on the whole texts' shingles. Only links that join components leave a block.
-    So similar texts are missed only if they share no band.
+    more than one component get all of their remaining pairs compared, in blocks, on the whole texts'
+    shingles. Only links that join components leave a block. Every distinct shingle has weight 1 in the
+    signatures, so bands and checks use one measure; similar texts are missed only if they share no band.
     """
     size = bands * rows
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
     def sign(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", SIGN_BYTES):
             made = shingles(b.column("text").to_pylist(), words)
-            sig = signatures([(s, weights(n)) for _, s, n in made], size).astype(np.uint32)
+            sig = signatures([(s, np.ones(len(s))) for _, s, _ in made], size).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([k for k, _, _ in made], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "key", "sig"])
         pa.default_memory_pool().release_unused()
 
@@ -182,10 +182,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
     leads = band.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(band.join(leads, "bucket"), "doc-members")
     pairs = members.where("rep <> lead").selectExpr("lead as a", "rep as b").distinct()
-    likely = _likely(pairs, reps, size, "doc-likely")
-    found = _verified(base, likely, least, words, "doc-first")
+    pairs = stored(pairs, "doc-pairs")
+    found = _verified(base, pairs, least, words, "doc-first")
     component = connected_components(found, "doc-components")
-    made = [signed, classes, reps, members, likely, found, component]
+    made = [signed, classes, reps, members, pairs, found, component]
 
     settled = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", "lead", F.coalesce("component", "rep").alias("component"))
     mixed = settled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2")
@@ -218,20 +218,21 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, size)
         sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
         lens = np.array([len(x) for x in sets])
-        equal = np.zeros((len(rep), len(rep)), np.int16)
         before = np.zeros((len(rep), len(rep)), bool)  # pairs that an earlier band compares
-        for k in range(bands):
+        for k in range(int(at_band[0])):
             whole = np.ones((len(rep), len(rep)), bool)
             for c in range(rows * k, rows * k + rows):
-                same = sig[:, c][:, None] == sig[:, c][None, :]
-                equal += same
-                whole &= same
-            if k < at_band[0]:
-                before |= whole
-        hit = (equal >= LEAST_EQUAL * size) & (component[:, None] != component[None, :]) & ~before
+                whole &= sig[:, c][:, None] == sig[:, c][None, :]
+            before |= whole
+        hit = (component[:, None] != component[None, :]) & ~before & (np.minimum.outer(lens, lens) >= least * np.maximum.outer(lens, lens)) & (lens > 0)
         if i[0] != j[0]:
             hit &= own[:, None] != own[None, :]
         hit = np.triu(hit, 1)
+        some = np.flatnonzero(hit.any(axis=0) | hit.any(axis=1))
+        if not len(some):
+            return
+        common = _common([sets[x] for x in some])
+        hit = hit[np.ix_(some, some)] & (common >= least * (lens[some][:, None] + lens[some][None, :] - common))
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -240,19 +241,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
             return x
 
         found = []
-        for a in np.flatnonzero(hit.any(axis=1)).tolist():
-            b = np.flatnonzero(hit[a])
-            b = b[np.minimum(lens[a], lens[b]) >= least * np.maximum(lens[a], lens[b])]
-            if not len(b) or not lens[a]:
-                continue
-            both = np.concatenate([sets[x] for x in b])
-            place = np.minimum(np.searchsorted(sets[a], both), lens[a] - 1)
-            common = np.add.reduceat((sets[a][place] == both).astype(np.int64), np.cumsum(lens[b]) - lens[b])
-            for x in b[common >= least * (lens[a] + lens[b] - common)].tolist():
-                p, q = top(int(component[a])), top(int(component[x]))
-                if p != q:  # what has met already needs no further link
-                    up[max(p, q)] = min(p, q)
-                    found.append((int(rep[a]), int(rep[x])))
+        for a, x in zip(*(some[k].tolist() for k in np.nonzero(hit)), strict=True):
+            p, q = top(int(component[a])), top(int(component[x]))
+            if p != q:  # what has met already needs no further link
+                up[max(p, q)] = min(p, q)
+                found.append((int(rep[a]), int(rep[x])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([x for _, x in found])], ["a", "b"])
 
