@@ -344,3 +344,10 @@ def name_round_trip(t):
     """The first 40 characters as a name, and read back."""
     d = t("documents").select("doc_id", fn.escape_name(F.substring("text", 1, 40)).alias("name"))
     return d.select("doc_id", "name", fn.parse_name(F.col("name")).alias("back"))
+
+
+@query()
+def name_round_trip_whole(t):
+    """Whole texts as names, and read back. It has no SQL; tests compare it with brute force."""
+    d = t("documents").select("doc_id", fn.escape_name("text").alias("name"))
+    return d.select("doc_id", "name", fn.parse_name(F.col("name")).alias("back"))
