@@ -52,6 +52,28 @@ def test_op1_odd_rows(odd_docs):
     assert got == want
 
 
+def long_text(n, seed=3):
+    """About n characters of words, some of them very long and without a space."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghijklmnopé.,1") for _ in range(r.randrange(1, 12))) for _ in range(50_000)]
+    return " ".join(r.choices(words, k=n // 7)) + "  " + "".join(r.choice("abc1é") for _ in range(100_000)) + "\n" * 1000
+
+
+def test_very_long_texts_small_blocks_and_many_parts(spark, monkeypatch):
+    texts = [long_text(20_000_000), *strange(300), long_text(1_000_000, 4), "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: u32(library().encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    for size, words in ((byte_bpe.BLOCK_BYTES, byte_bpe.PART_WORDS), (1 << 12, 64)):
+        monkeypatch.setattr(byte_bpe, "PART_WORDS", words)
+        got = byte_bpe.encode(rows.repartition(3), RANKS, P.PATTERN, decoded="back", keep=["doc_id"], block_bytes=size).collect()
+        assert len(got) == len(texts) and {r.doc_id: bytes(r.ids) for r in got} == want
+        assert all(bytes(r.back) == (texts[r.doc_id] or "").encode() for r in got)
+
+
+def test_encode_of_nothing(no_docs):
+    assert byte_bpe.encode(no_docs, RANKS, P.PATTERN).count() == 0 and byte_bpe.digests(no_docs, RANKS, P.PATTERN).count() == 0
+
+
 def test_encode_keeps_other_columns_and_replaces_a_clashing_one(odd_docs):
     d = byte_bpe.encode(odd_docs.withColumn("ids", F.lit(3)), RANKS, P.PATTERN)
     assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"] and dict(d.dtypes)["ids"] == "binary"

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.llm.blocks import packed, part_edges, risen, rising, runs, unpacked
 from vellumspark.llm.common import drop_stored, slices, stored
 from vellumspark.llm.words import M1, mix, word_hashes
 
@@ -135,53 +135,12 @@ BLOCK_WORDS = 1 << 20
 WORD_BITS, PAIR_BITS, BLOCKS = 6, 9, 4096
 
 
-def _packed(a: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones and so on, compressed: zeros stand together."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
-
-
-def _unpacked(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _rising(a: np.ndarray) -> bytes:
-    return _packed(np.diff(a, prepend=np.uint64(0)))
-
-
-def _risen(b: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(b, np.uint64), dtype=np.uint64)
-
-
 def _bits(n_blocks: int) -> tuple[int, int]:
     """Bits of words' and pairs' keys that are their part."""
     more = max(0, -(-n_blocks // BLOCKS) - 1).bit_length()
     return WORD_BITS + more, PAIR_BITS + more
 
 
-def _cuts(keys: np.ndarray, bits: int) -> list[int]:
-    """Where each part of rising keys begins, and the end."""
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).tolist()
-
-
-def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
-    """Rows of equal value in a sorted column."""
-    at, held = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        v = np.asarray(b.column(column))
-        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and v[s] != at:
-                yield at, pa.Table.from_batches(held)
-                held = []
-            at = int(v[s])
-            held.append(b.slice(s, e - s))
-    if held:
-        yield at, pa.Table.from_batches(held)
-
-
 def _blocks(rows: DataFrame) -> DataFrame:
     """The texts as blocks, stored: ids, numbers of words and targets of the texts, the block's distinct words (64-bit hashes, rising) and each word's place among them."""
     key = rows.schema["doc_id"].dataType.simpleString()
@@ -195,7 +154,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
             doc_ids = pa.concat_arrays(ids)
             lists = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
-            blobs = [pa.array([x], pa.binary()) for x in (_packed(n), t.tobytes(), _rising(words), _packed(tokens.astype(np.int32)))]
+            blobs = [pa.array([x], pa.binary()) for x in (packed(n), t.tobytes(), rising(words), packed(tokens.astype(np.int32)))]
             sums = [pa.array([int(x)]) for x in (n.sum(), n[t].sum(), (n > 0).sum(), (n[t] > 0).sum())]
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), lists, *blobs, *sums], ["block", "ids", "counts", "target", "words", "tokens", "n", "n_target", "texts", "texts_target"])
 
@@ -221,8 +180,8 @@ class _Block:
     """Of a stored block: texts, words and pairs, and how often the block itself has each, in the background and in the target."""
 
     def __init__(self, counts: bytes, target: bytes, words: bytes, tokens: bytes):
-        self.counts, self.target = _unpacked(counts, np.int64), np.frombuffer(target, bool)
-        self.words, self.word = _risen(words), _unpacked(tokens, np.int32).astype(np.int64)
+        self.counts, self.target = unpacked(counts, np.int64), np.frombuffer(target, bool)
+        self.words, self.word = risen(words), unpacked(tokens, np.int32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.first = np.zeros(len(self.word), bool)
         self.first[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = True
@@ -249,16 +208,16 @@ def _totals(blocks: DataFrame, n_blocks: int) -> DataFrame:
             for i in range(b.num_rows):
                 own = _Block(*(b.column(c)[i].as_py() for c in ("counts", "target", "words", "tokens")))
                 for kind, keys, n in ((0, own.words, own.n(own.word, len(own.words))), (1, own.pairs, own.n(own.pair, len(own.pairs)))):
-                    cuts = _cuts(keys, bits[kind])
+                    cuts = part_edges(keys, bits[kind])
                     some = [(p, s, e) for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
                     cols = [pa.array([p + kind * word_parts for p, _, _ in some], pa.int32()), pa.array([b.column("block")[i].as_py()] * len(some), pa.int64())]
-                    cols += [pa.array([f(x[s:e]) for _, s, e in some], pa.binary()) for f, x in ((_rising, keys), (_packed, n[0]), (_packed, n[1]))]
+                    cols += [pa.array([f(x[s:e]) for _, s, e in some], pa.binary()) for f, x in ((rising, keys), (packed, n[0]), (packed, n[1]))]
                     yield pa.RecordBatch.from_arrays(cols, ["part", "block", "keys", "n", "n_target"])
 
     def add(batches: Iterator[pa.RecordBatch]):
-        for part, table in _runs(batches, "part"):
-            keys = [_risen(x) for x in table["keys"].to_pylist()]
-            n = [[_unpacked(x, np.int64) for x in table[c].to_pylist()] for c in ("n", "n_target")]
+        for part, table in runs(batches, "part"):
+            keys = [risen(x) for x in table["keys"].to_pylist()]
+            n = [[unpacked(x, np.int64) for x in table[c].to_pylist()] for c in ("n", "n_target")]
             cuts = np.cumsum([0, *map(len, keys)]).tolist()
             flat, own = np.concatenate(keys), np.stack([np.concatenate(x) for x in n])
             order = np.argsort(flat, kind="stable")
@@ -271,7 +230,7 @@ def _totals(blocks: DataFrame, n_blocks: int) -> DataFrame:
             out = [(-1, part, b"", b"", len(starts))] if part < word_parts else []
             for block, s, e in zip(table["block"].to_pylist(), cuts[:-1], cuts[1:], strict=True):
                 if sums[:, s:e].any():
-                    out.append((block, part, _packed(sums[0, s:e]), _packed(sums[1, s:e]), 0))
+                    out.append((block, part, packed(sums[0, s:e]), packed(sums[1, s:e]), 0))
             if out:
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["block", "part", "n", "n_target", "words"])
@@ -308,16 +267,16 @@ def exact_cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataF
     both = both.repartitionById(spread, place).sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for _, table in _runs(batches, "block"):
+        for _, table in runs(batches, "block"):
             at = next(i for i, x in enumerate(table["tokens"].is_valid().to_pylist()) if x)
             b = _Block(*(table[c][at].as_py() for c in ("counts", "target", "words", "tokens")))
             words, pairs = b.n(b.word, len(b.words)), b.n(b.pair, len(b.pairs))
-            cuts = [_cuts(b.words, bits[0]), _cuts(b.pairs, bits[1])]
+            cuts = [part_edges(b.words, bits[0]), part_edges(b.pairs, bits[1])]
             for part, n, n_target in zip(*(table[c].to_pylist() for c in ("part", "more", "more_target")), strict=True):
                 if part is not None:
                     kind = int(part >= 1 << bits[0])
                     part -= kind << bits[0]
-                    (words, pairs)[kind][:, cuts[kind][part] : cuts[kind][part + 1]] += np.stack([_unpacked(n, np.int64), _unpacked(n_target, np.int64)])
+                    (words, pairs)[kind][:, cuts[kind][part] : cuts[kind][part + 1]] += np.stack([unpacked(n, np.int64), unpacked(n_target, np.int64)])
             own_word, own_pair = _own(b.doc, b.word, len(b.words)), _own(b.doc, b.pair, len(b.pairs))
             own_before = np.where(b.first, 1, np.concatenate([own_word[:1], own_word[:-1]]))
             losses = []
