@@ -1,4 +1,4 @@
-"""Cross-entropy difference: two n-gram models over one hashed vocabulary, their losses compared per token."""
+"""Cross-entropy difference: matched target and background bigram models over one vocabulary, their losses compared per token."""
 
 from __future__ import annotations
 
@@ -14,29 +14,12 @@ from vellumspark.llm.blocks import packed, part_edges, risen, rising, runs, unpa
 from vellumspark.llm.common import drop_stored, slices, stored
 from vellumspark.llm.words import M1, mix, word_hashes
 
-#: Entries of the shared vocabulary and of the table of word pairs; words and pairs are hashed into them.
-WORDS, PAIRS = 1 << 17, 1 << 21
 #: Weight of the unigram estimate in tokens, and of the uniform one in the unigram estimate.
 BACKOFF, UNIFORM = 8.0, 0.5
 #: Most target ids that are broadcast (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' lower-cased words: number in each text, and each word's entry, its predecessor's (a text's first word has entry 0 before it) and the pair's."""
-    lists = [t.lower().split() for t in texts]
-    counts = np.array([len(x) for x in lists])
-    h = word_hashes(lists)
-    with np.errstate(over="ignore"):
-        word = (h % np.uint64(WORDS - 1)).astype(np.int64) + 1
-        before = np.concatenate([[0], word[:-1]]) if len(word) else word
-        before[(np.cumsum(counts) - counts)[counts > 0]] = 0
-        left = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-        left = np.where(before == 0, np.uint64(0), left)
-        pair = (mix(left * M1 + h) % np.uint64(PAIRS)).astype(np.int64)
-    return counts, word, before, pair
-
-
 def _flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, text and whether the row belongs to the target."""
     ids = targets.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
@@ -45,90 +28,12 @@ def _flagged(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().alias("target"))
 
 
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words' and pairs' counts of (background, target), over all rows. The tables have a fixed size; each task sums its own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        words, pairs = np.zeros((2, WORDS), np.int64), np.zeros((2, PAIRS), np.int64)
-        for b in slices(batches, "text"):
-            counts, word, _, pair = _grams(b.column("text").to_pylist())
-            target = np.repeat(np.asarray(b.column("target").to_pylist(), bool), counts)
-            words[0] += np.bincount(word, minlength=WORDS)
-            pairs[0] += np.bincount(pair, minlength=PAIRS)
-            words[1] += np.bincount(word[target], minlength=WORDS)
-            pairs[1] += np.bincount(pair[target], minlength=PAIRS)
-        for at, table in ((0, words[0]), (WORDS, pairs[0]), (WORDS + PAIRS, words[1]), (2 * WORDS + PAIRS, pairs[1])):
-            seen = np.flatnonzero(table)
-            for i in range(0, len(seen), 1 << 18):
-                part = seen[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((part + at).astype(np.int32)), pa.array(table[part])], ["place", "n"])
-
-    sums = stored(rows.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")), "lm-counts")
-    flat = np.zeros(2 * (WORDS + PAIRS), np.int64)
-    table = sums.toArrow()
-    flat[np.asarray(table["place"].combine_chunks())] = np.asarray(table["n"].combine_chunks())
-    drop_stored(sums)
-    size = WORDS + PAIRS
-    return np.stack([flat[:WORDS], flat[size : size + WORDS]]), np.stack([flat[WORDS:size], flat[size + WORDS :]])
-
-
-def _losses(words: np.ndarray, total: float, pairs: np.ndarray, starts: float, word: np.ndarray, before: np.ndarray, pair: np.ndarray, own: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Negative log chance of each word after the one before it, without the text's own counts."""
-    own_word, own_before, own_pair, own_total, own_start = own
-    c = np.maximum(0, words[word] - own_word)
-    uni = (c + UNIFORM) / (np.maximum(0, total - own_total) + UNIFORM * WORDS)
-    history = np.where(before == 0, np.maximum(0, starts - own_start), np.maximum(0, words[before] - own_before))
-    both = np.minimum(np.maximum(0, pairs[pair] - own_pair), history)
-    return -np.log((both + BACKOFF * uni) / (history + BACKOFF))
-
-
 def _own(doc: np.ndarray, key: np.ndarray, size: int) -> np.ndarray:
     """How often each place's key occurs in its text."""
     _, back, n = np.unique(doc * size + key, return_inverse=True, return_counts=True)
     return n[back]
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of each row of docs (doc_id, text).
-
-    The target model counts the documents whose doc_id occurs in targets, the background model all of
-    docs; both hash words and pairs of neighbouring words into one vocabulary of fixed size, so the
-    tables that every task holds are 35 MB at any input. Losses are mean negative log chances per
-    token; score is the background's loss less the target's, higher for texts more like the target.
-    A document's own counts are taken out of each model that holds it. A text without words, or null,
-    has no tokens and zeros. Rows that share a doc_id are each scored, and each belong to the target
-    if the id does. Without targets every score compares the background with a uniform model.
-    """
-    spark = docs.sparkSession
-    rows = _flagged(docs, targets)
-    words, pairs = _counts(rows)
-    totals = words.sum(axis=1)
-    texts = rows.where(F.length(F.trim("text")) > 0).groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()
-    of = {r.target: r.n for r in texts}
-    starts = [of.get(True, 0) + of.get(False, 0), of.get(True, 0)]
-    tables = spark.sparkContext.broadcast((words.astype(np.int32), pairs.astype(np.int32)))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        words, pairs = tables.value
-        for b in slices(batches, "text"):
-            counts, word, before, pair = _grams(b.column("text").to_pylist())
-            target = np.asarray(b.column("target").to_pylist(), bool)
-            doc = np.repeat(np.arange(len(counts)), counts)
-            once = _own(doc, word, WORDS), None, _own(doc, pair, PAIRS), counts[doc], np.ones(len(doc), np.int64)
-            mine = np.concatenate([[0], once[0][:-1]]) if len(doc) else once[0]
-            once = (once[0], mine, *once[2:])
-            sums = []
-            for m in (0, 1):
-                held = np.ones(len(doc), np.int64) if m == 0 else target[doc].astype(np.int64)
-                loss = _losses(words[m], float(totals[m]), pairs[m], float(starts[m]), word, before, pair, tuple(x * held for x in once))
-                sums.append(np.bincount(doc, loss, len(counts)) / np.maximum(1, counts))
-            cols = [b.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]), pa.array(sums[0] - sums[1])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    key = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {key}, n_tokens long, target_loss double, background_loss double, score double")
-
-
 #: Words of the texts that are counted together as one block; a longer text is a block of its own.
 BLOCK_WORDS = 1 << 20
 #: The bits of a key that deal words and pairs to parts; with every further BLOCKS blocks there are more parts.
@@ -241,14 +146,24 @@ def _totals(blocks: DataFrame, n_blocks: int) -> DataFrame:
     return stored(parts.mapInArrow(add, "block long, part int, n binary, n_target binary, words long"), "lm-totals")
 
 
-def exact_cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of each row of docs (doc_id, text).
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of each row of docs (doc_id, text; other columns are ignored).
 
-    The same models and losses as cross_entropy_difference, from counts of every distinct word and pair
-    instead of hashed tables of fixed size; the vocabulary's size is the number of distinct words of docs.
-    Words and pairs are told apart by 64 bits. What is gathered grows with the corpus: texts are stored
-    as blocks, each block sends its own counts to parts of the keys, which send back what the other blocks
-    count. No count is broadcast or collected.
+    The target model counts the documents whose doc_id occurs in targets, the background model all of
+    docs, both every distinct lower-cased word between white space and every pair of neighbours, told
+    apart by 64 bits. They share one vocabulary, the distinct words of docs, and are matched: the
+    background's counts are scaled to the target's number of tokens, so what neither model has seen
+    costs the same in both. Losses are mean negative log chances per token; score is the background's
+    loss less the target's, higher for texts more like the target. A document's own counts are taken
+    out of each model that holds it.
+
+    A text without words, empty or null, has no tokens and zeros. Rows that share a doc_id are each
+    scored, and each belong to the target if the id does; a null doc_id never does. Without targets
+    (or with targets of no words) the background isn't scaled and the target model is uniform. An empty
+    table gives an empty one. A very long text is a block of its own.
+
+    What is gathered grows with the corpus: texts are stored as blocks, each block sends its own counts
+    to parts of the keys, which send back what the other blocks count. No count is broadcast or collected.
     """
     spark = docs.sparkSession
     rows = _flagged(docs, targets)
@@ -256,6 +171,7 @@ def exact_cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataF
     blocks = _blocks(rows)
     known = blocks.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target", "texts", "texts_target")]).collect()[0]
     totals, starts, bits = known[1:3], known[3:5], _bits(known[0])
+    scale = (totals[1] / totals[0] if totals[1] else 1.0, 1.0)
     sums = _totals(blocks, known[0])
     size = sums.where("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0))).collect()[0][0]
     own = ["ids", "counts", "target", "words", "tokens"]
@@ -282,9 +198,9 @@ def exact_cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataF
             losses = []
             for m in (0, 1):
                 held = np.ones(len(b.doc), np.int64) if m == 0 else b.held.astype(np.int64)
-                uni = (words[m][b.word] - own_word * held + UNIFORM) / (totals[m] - b.counts[b.doc] * held + UNIFORM * size)
-                history = np.where(b.first, starts[m], words[m][b.before]) - own_before * held
-                loss = -np.log((pairs[m][b.pair] - own_pair * held + BACKOFF * uni) / (history + BACKOFF))
+                uni = (scale[m] * (words[m][b.word] - own_word * held) + UNIFORM) / (scale[m] * (totals[m] - b.counts[b.doc] * held) + UNIFORM * size)
+                history = scale[m] * (np.where(b.first, starts[m], words[m][b.before]) - own_before * held)
+                loss = -np.log((scale[m] * (pairs[m][b.pair] - own_pair * held) + BACKOFF * uni) / (history + BACKOFF))
                 losses.append(np.bincount(b.doc, loss, len(b.counts)) / np.maximum(1, b.counts))
             ids = table["ids"].combine_chunks()[at].values
             cols = [ids, pa.array(b.counts), pa.array(losses[1]), pa.array(losses[0]), pa.array(losses[0] - losses[1])]
