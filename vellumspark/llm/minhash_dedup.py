@@ -1,4 +1,11 @@
-"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, bands, exact checks, components."""
+"""Near-duplicate documents: ProbMinHash signatures of weighted word shingles, bands, exact checks, components.
+
+A shingle that occurs n times weighs 1 + ln n. Texts are similar if the probability Jaccard similarity
+of their weighted shingles is high enough, or that of the same shingles at equal weights, which is the
+plain Jaccard similarity of the sets: a passage that one text repeats more often than another parts
+the two measures. So a text that repeats a shingle is signed under both weightings; for all others
+they are one.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +27,8 @@ LEAST = 0.8
 BANDS, ROWS = 24, 4
 #: Shingles whose texts are compared at once.
 COLUMNS = 4096
-#: Classes of a band bucket that are compared at once after the first round.
-BLOCK = 512
+#: Classes of a band bucket, and bytes of their shingles, that are compared at once after the first round.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Most ids of documents to check that are broadcast (16 MB); beyond it, texts are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bytes of text that are signed together.
@@ -91,6 +98,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
     return kept.reshape(-1, size)
 
 
+def weights(counts: np.ndarray) -> np.ndarray:
+    """Of shingles that occur so often."""
+    return 1 + np.log(counts)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two rising arrays of distinct values."""
     if not len(a) or not len(b):
@@ -101,67 +113,110 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(both) - same)
 
 
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of rising distinct elements a, b of weights x, y: the sum over common elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i).
+
+    With the common elements in order of x_j / y_j, the greater quotient is the first one from i on
+    and the second one before it, so running sums of both give all inner sums.
+    """
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    p, q = x[i], y[j]
+    order = np.argsort(p / q, kind="stable")
+    p, q = p[order], q[order]
+    left = x.sum() - np.cumsum(p) + p  # only in a, or common from here on
+    right = y.sum() - q[::-1].cumsum()[::-1]  # only in b, or common before
+    return float((1 / (left / p + right / q)).sum())
+
+
+class Shingles:
+    """A stored text's distinct shingles and, if some repeat, their weights."""
+
+    def __init__(self, s: bytes, n: bytes | None):
+        self.s = np.frombuffer(s, np.uint64)
+        self.n = np.frombuffer(n, np.int32) if n else None
+
+    @property
+    def w(self) -> np.ndarray:
+        return np.ones(len(self.s)) if self.n is None else weights(self.n)
+
+    def like(self, other: Shingles, least: float) -> bool:
+        """Similar under either weighting."""
+        if jaccard(self.s, other.s) >= least:
+            return True
+        return (self.n is not None or other.n is not None) and probability_jaccard(self.s, self.w, other.s, other.w) >= least
+
+
 def _sets(docs: DataFrame, ids: DataFrame, words: int, name: str) -> DataFrame:
-    """id and s (its distinct shingles, rising) of the documents whose ids are listed, stored."""
+    """id, s (its distinct shingles, rising) and n (how often each occurs, null if once) of the documents whose ids are listed, stored."""
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", SIGN_BYTES):
             made = shingles([t or "" for t in b.column("text").to_pylist()], words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for _, s, _ in made], pa.binary())], ["id", "s"])
+            cols = [pa.array([s.tobytes() for _, s, _ in made], pa.binary()), pa.array([n.astype(np.int32).tobytes() if (n > 1).any() else None for _, _, n in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["id", "s", "n"])
 
-    return stored(texts.select("doc_id", "text").mapInArrow(sets, "id long, s binary"), f"{name}-sets")
+    return stored(texts.select("doc_id", "text").mapInArrow(sets, "id long, s binary, n binary"), f"{name}-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, least: float, words: int, name: str) -> DataFrame:
-    """Pairs (a, b) whose texts' distinct shingles have a Jaccard similarity of `least` or more, stored."""
+    """Pairs (a, b) whose texts are similar under either weighting, stored."""
     ids = stored(pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct(), f"{name}-ids")
     held = _sets(docs, ids, words, name)
-    both = pairs.join(held.selectExpr("id as b", "s as sb"), "b").join(held.selectExpr("id as a", "s as sa"), "a")
+    both = pairs.join(held.selectExpr("id as b", "s as sb", "n as nb"), "b").join(held.selectExpr("id as a", "s as sa", "n as na"), "a")
 
     def check(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            same = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            same = [Shingles(x, m).like(Shingles(y, n), least) for x, m, y, n in zip(*(b.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    out = stored(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), f"{name}-links")
+    out = stored(both.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(check, "a long, b long"), f"{name}-links")
     drop_stored(held)
     drop_stored(ids)
     return out
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values each two sets share."""
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, back, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _common(sets: list[Shingles]) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each two texts share, and what share of the first one's weight those have."""
+    out, share = np.zeros((2, len(sets), len(sets)), np.float32)
+    own = [x.w for x in sets]
+    weight = np.concatenate([w / w.sum() if len(w) else w for w in own]).astype(np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x.s) for x in sets])
+    _, back, n = np.unique(np.concatenate([x.s for x in sets]), return_inverse=True, return_counts=True)
     column = (np.cumsum(n > 1) - 1)[back]
     shared = np.flatnonzero(n[back] > 1)
     shared = shared[np.argsort(column[shared], kind="stable")]
-    column, owner = column[shared], owner[shared]
+    column, owner, weight = column[shared], owner[shared], weight[shared]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         s, e = np.searchsorted(column, [at, at + COLUMNS])
-        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m, w = np.zeros((2, len(sets), COLUMNS), np.float32)
         m[owner[s:e], column[s:e] - at] = 1
+        w[owner[s:e], column[s:e] - at] = weight[s:e]
         out += m @ m.T
-    return out.astype(np.int64)
+        share += w @ m.T
+    return out.astype(np.int64), share
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, component_id and kept of each row of docs (doc_id long, text; other columns are ignored).
 
-    Documents whose distinct shingles have a Jaccard similarity of `least` or more are linked;
-    component_id is the smallest doc_id that links reach, and kept tells whether it is the row's own.
-    A null text is empty; texts without words are copies of one another, and so are texts of equal
-    words. Rows that share a doc_id stand for one vertex: links of either text hold for both. Rows without a doc_id take the component
-    of their copies; if there are none, they are linked with nothing, have a null component and are kept.
+    Documents are linked if their shingles are similar by `least` or more, either with weights of
+    1 + ln(occurrences) by probability Jaccard, or as sets by Jaccard; component_id is the smallest
+    doc_id that links reach, and kept tells whether it is the row's own. A null text is empty; texts
+    without words are copies of one another, and so are texts of equal words; ties can't arise. Rows
+    that share a doc_id stand for one vertex: links of either text hold for both. Rows without a doc_id
+    take the component of their copies; if there are none, they are linked with nothing, have a null
+    component and are kept. An empty table gives an empty one; a very long text is signed in one task.
 
     Copies form a class first and go on as one. Each band bucket then compares its classes with its
-    least one; that settles groups of many similar texts without their pairs. Buckets that still hold
-    more than one component get all of their remaining pairs compared, in blocks, on the whole texts'
-    shingles. Only links that join components leave a block. Every distinct shingle has weight 1 in the
-    signatures, so bands and checks use one measure; similar texts are missed only if they share no band.
+    least one; that settles groups of many similar texts without their pairs. In buckets that still
+    hold more than one component, classes of different components are compared in blocks, on the whole
+    texts' shingles. A block of a large component meets no other block of that component, so beside one
+    great component the work grows in proportion. Only links that join components leave a meeting.
+    Similar texts are missed only if they share no band.
     """
     size = bands * rows
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -169,32 +224,38 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
     def sign(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", SIGN_BYTES):
             made = shingles(b.column("text").to_pylist(), words)
-            sig = signatures([(s, np.ones(len(s))) for _, s, _ in made], size).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([k for k, _, _ in made], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "key", "sig"])
+            sig = signatures([(s, weights(n)) for _, s, n in made], size).astype(np.uint32)
+            odd = [i for i, (_, _, n) in enumerate(made) if (n > 1).any()]
+            even = dict(zip(odd, signatures([(made[i][1], np.ones(len(made[i][1]))) for i in odd], size).astype(np.uint32), strict=True))
+            cols = [pa.array([k for k, _, _ in made], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([even[i].tobytes() if i in even else None for i in range(len(made))], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array([len(s) for _, s, _ in made])], ["doc_id", "key", "sig", "even", "size"])
         pa.default_memory_pool().release_unused()
 
-    signed = stored(base.mapInArrow(sign, "doc_id long, key binary, sig binary"), "doc-signatures")
+    signed = stored(base.mapInArrow(sign, "doc_id long, key binary, sig binary, even binary, size long"), "doc-signatures")
     classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep")), "doc-classes")
-    reps = stored(signed.join(classes.where("rep is not null"), (signed["key"] == classes["key"]) & (signed["doc_id"] == classes["rep"])).select("rep", signed["key"], "sig").dropDuplicates(["rep", "key"]).select("rep", "sig"), "doc-reps")
+    own = ["sig", "even", "size"]
+    reps = signed.join(classes.where("rep is not null"), (signed["key"] == classes["key"]) & (signed["doc_id"] == classes["rep"]))
+    reps = stored(reps.select("rep", signed["key"], *own).dropDuplicates(["rep", "key"]).select("rep", *own), "doc-reps")
 
-    band = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i"), "sig")
-    band = band.select("rep", F.col("i").alias("band"), F.xxhash64("i", F.expr(f"substring(sig, i * {4 * rows} + 1, {4 * rows})")).alias("bucket"))
+    both = reps.select("rep", "size", "sig").union(reps.where("even is not null").select("rep", "size", "even"))
+    band = both.select("rep", "size", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("i"), "sig")
+    band = band.select("rep", "size", F.col("i").alias("band"), F.xxhash64("i", F.expr(f"substring(sig, i * {4 * rows} + 1, {4 * rows})")).alias("bucket"))
     leads = band.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(band.join(leads, "bucket"), "doc-members")
+    members = stored(band.join(leads, "bucket"), "doc-members")  # a text of two signatures may stand twice in a bucket
     pairs = members.where("rep <> lead").selectExpr("lead as a", "rep as b").distinct()
     pairs = stored(pairs, "doc-pairs")
     found = _verified(base, pairs, least, words, "doc-first")
     component = connected_components(found, "doc-components")
     made = [signed, classes, reps, members, pairs, found, component]
 
-    settled = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", "lead", F.coalesce("component", "rep").alias("component"))
+    settled = members.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "band", "rep", "size", "lead", F.coalesce("component", "rep").alias("component"))
     mixed = settled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = settled.join(mixed, "bucket").where("rep <> lead").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_ = stored(open_.select("bucket", "band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "doc-open")
-    held = _sets(base, open_.select(F.col("rep").alias("id")).distinct(), words, "doc-open") if open_.limit(1).count() else None
-    rest = open_ if held is None else open_.join(reps, "rep").join(held, F.col("rep") == F.col("id")).drop("id")
+    open_ = stored(settled.join(mixed.select("bucket"), "bucket").where("rep <> lead").drop("lead"), "doc-open")
+    made.append(open_)
+    some = open_.limit(1).count() > 0
+    placed = stored(_meetings(open_), "doc-placed")
+    held = _sets(base, open_.select(F.col("rep").alias("id")).distinct(), words, "doc-open") if some else None
+    rest = placed if held is None else placed.join(reps.select("rep", "sig"), "rep").join(held, F.col("rep") == F.col("id")).drop("id")
     rest = rest.repartition(F.xxhash64("bucket", "i", "j")).sortWithinPartitions("bucket", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]):
@@ -216,23 +277,28 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
     def meet(table: pa.Table):
         rep, component, own, i, j, at_band = (np.asarray(table[c].combine_chunks()) for c in ("rep", "component", "own", "i", "j", "band"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, size)
-        sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
-        lens = np.array([len(x) for x in sets])
+        sets = [Shingles(x, m) for x, m in zip(table["s"].to_pylist(), table["n"].to_pylist(), strict=True)]
         before = np.zeros((len(rep), len(rep)), bool)  # pairs that an earlier band compares
         for k in range(int(at_band[0])):
             whole = np.ones((len(rep), len(rep)), bool)
             for c in range(rows * k, rows * k + rows):
                 whole &= sig[:, c][:, None] == sig[:, c][None, :]
             before |= whole
-        hit = (component[:, None] != component[None, :]) & ~before & (np.minimum.outer(lens, lens) >= least * np.maximum.outer(lens, lens)) & (lens > 0)
+        hit = (component[:, None] != component[None, :]) & ~before
         if i[0] != j[0]:
             hit &= own[:, None] != own[None, :]
         hit = np.triu(hit, 1)
         some = np.flatnonzero(hit.any(axis=0) | hit.any(axis=1))
         if not len(some):
             return
-        common = _common([sets[x] for x in some])
-        hit = hit[np.ix_(some, some)] & (common >= least * (lens[some][:, None] + lens[some][None, :] - common))
+        hit = hit[np.ix_(some, some)]
+        sets = [sets[x] for x in some]
+        lens = np.array([len(x.s) for x in sets])
+        common, share = _common(sets)
+        plain = hit & (lens > 0) & (common >= least * (lens[:, None] + lens[None, :] - common))
+        repeats = np.array([x.n is not None for x in sets])
+        # probability Jaccard is at most the common shingles' share of either text's weight
+        perhaps = hit & ~plain & (repeats[:, None] | repeats[None, :]) & (np.minimum(share, share.T) >= least - 1e-4)
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -241,20 +307,23 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
             return x
 
         found = []
-        for a, x in zip(*(some[k].tolist() for k in np.nonzero(hit)), strict=True):
-            p, q = top(int(component[a])), top(int(component[x]))
-            if p != q:  # what has met already needs no further link
-                up[max(p, q)] = min(p, q)
-                found.append((int(rep[a]), int(rep[x])))
+        for sure, which in ((True, plain), (False, perhaps)):
+            for m, n in zip(*(k.tolist() for k in np.nonzero(which)), strict=True):
+                a, x = some[m], some[n]
+                p, q = top(int(component[a])), top(int(component[x]))
+                # what has met already needs no further link
+                if p != q and (sure or sets[m].like(sets[n], least)):
+                    up[max(p, q)] = min(p, q)
+                    found.append((int(rep[a]), int(rep[x])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([x for _, x in found])], ["a", "b"])
 
-    if held is not None:
+    if some:
         more = stored(rest.mapInArrow(compare, "a long, b long").distinct(), "doc-more")
         if more.limit(1).count():
             component = connected_components(found.union(more), "doc-components")
         made += [held, more, component]
-    made.append(open_)
+    made.append(placed)
 
     done = stored(classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("component_id")), "doc-done")
     out = signed.select("doc_id", "key").join(done, F.col("key") == F.col("k"))
@@ -264,6 +333,29 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
     return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("__i")).drop("__i")
 
 
+def _meetings(open_: DataFrame) -> DataFrame:
+    """Classes of mixed buckets with the pairs of blocks (i, j) that they meet in.
+
+    open_: bucket, band, rep, size, component. A component of more than BLOCK classes, or whose
+    shingles take more than BLOCK_BYTES, has blocks of its own in the bucket; the others share the
+    bucket's first blocks. All blocks meet, but for those of one component.
+    """
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(8 * size / BLOCK_BYTES)).cast("int")
+    rows = open_.dropDuplicates(["bucket", "rep"])
+    per = rows.groupBy("bucket", "component").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("k"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    large = F.when(F.col("k") > 1, F.struct("component", "k"))
+    small = [F.sum(F.when(F.col("k") == 1, F.col(c))) for c in ("n", "size")]
+    info = per.groupBy("bucket").agg(F.coalesce(blocks(*small), F.lit(0)).alias("pool"), F.sort_array(F.collect_list(large)).alias("large"))
+    info = info.withColumn("parts", F.col("pool") + F.aggregate("large", F.lit(0), lambda a, x: a + x["k"]))
+    rows = rows.join(per.select("bucket", "component", "k"), ["bucket", "component"]).join(info, "bucket")
+    first = F.col("pool") + F.aggregate(F.filter("large", lambda x: x["component"] < F.col("component")), F.lit(0), lambda a, x: a + x["k"])
+    first = F.when(F.col("k") > 1, first).otherwise(0)
+    rows = rows.withColumn("first", first).withColumn("own", F.when(F.col("k") > 1, F.col("first") + F.pmod(F.xxhash64("rep"), F.col("k"))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("pool", F.lit(1)))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (F.col("k") == 1) | (x < F.col("first")) | (x >= F.col("first") + F.col("k")))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("bucket", "band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def expected_miss(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     """Chance that a pair shares no band."""
     return math.pow(1 - similarity**rows, bands)
