@@ -19,6 +19,15 @@ def unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def squeezed(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def spread_out(b: bytes) -> bytes:
+    """Inverse of squeezed()."""
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def rising(a: np.ndarray) -> bytes:
     """packed() of rising numbers of 64 or 32 bits."""
     return packed(np.diff(a, prepend=a.dtype.type(0)))

@@ -14,6 +14,7 @@ many blocks and texts hold it.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.blocks import gather, packed, part_edges, risen, rising, runs, unpacked
-from vellumspark.llm.common import slices, stored
+from vellumspark.llm.blocks import gather, packed, part_edges, risen, rising, runs, spread_out, squeezed, unpacked
+from vellumspark.llm.common import fresh_path, open_store, slices, stored, whole_uri
 from vellumspark.llm.units import BOUNDARY
 from vellumspark.llm.vocab import rank_file
 
@@ -261,7 +262,11 @@ class _Block:
         self.counts.append(counts)
         self.size += texts.nbytes
 
-    def row(self, pattern: regex.Pattern, block: int) -> pa.RecordBatch:
+    def finish(self, pattern: regex.Pattern) -> tuple[list[bytes], list[bytes], int]:
+        """What the texts are (kept columns, matches of each, tokens, the words' order), what the words are (hashes, lengths, bytes), and how many.
+
+        Words stand in the order of their hashes; tokens number them by how often they occur, so that most are small.
+        """
         units = pa.chunked_array(self.units).unify_dictionaries()
         listed = units.chunk(0).dictionary
         code = np.concatenate([np.asarray(c.indices).astype(np.int64) for c in units.chunks]) * 2 + np.concatenate(self.cut)
@@ -281,17 +286,16 @@ class _Block:
         rank[order] = np.arange(len(order))
         tokens, ends = gather(rank[np.asarray(words.indices)], np.cumsum(n) - n, n, place)
         counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.concatenate(self.counts))])])
+        common = np.argsort(-np.bincount(tokens, minlength=len(order)), kind="stable").astype(np.int32)
+        rank[common] = np.arange(len(order))
         held = words.dictionary.take(pa.array(order)).cast(pa.binary())
         lens = np.asarray(pc.binary_length(held)).astype(np.int32)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             for b in self.kept:
                 w.write_batch(b)
-        blobs = (sink.getvalue().to_pybytes(), packed(counts.astype(np.int64)), packed(tokens.astype(np.int32)), rising(hashes[order]), packed(lens), b"".join(held.to_pylist()))
-        return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([x], pa.binary()) for x in blobs), pa.array([len(lens)])], BLOCK_COLUMNS)
-
-
-BLOCK_COLUMNS = ["block", "kept", "counts", "tokens", "hashes", "lens", "data", "n"]
+        texts = [sink.getvalue().to_pybytes(), packed(counts.astype(np.int64)), packed(rank[tokens].astype(np.int32)), packed(common)]
+        return texts, [rising(hashes[order]), packed(lens), squeezed(b"".join(held.to_pylist()))], len(lens)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -303,9 +307,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     column with the bytes that the ids stand for, read back from the ids. pattern: its matches don't
     span a place between another character than white space and a space.
 
-    The blocks (texts as places in lists of matches) are written to the shared folder. Each block's
-    distinct matches travel once to the part of their hashes and their ids once back; texts don't
-    travel, but for columns of docs that the caller keeps.
+    The blocks (texts as places in lists of matches, and kept columns) are written to files in the
+    shared folder, one file a task; a task that runs again writes one of another name. Each block's
+    distinct matches travel once to the part of their hashes and their ids once back; texts don't travel.
     """
     spark = docs.sparkSession
     kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)]
@@ -313,36 +317,51 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     schema = docs.select(*kept).withColumn(ids, F.lit(b"").cast("binary"))
     schema = (schema.withColumn(decoded, F.lit(b"").cast("binary")) if decoded else schema).schema
 
+    folder = whole_uri(fresh_path(spark, "bpe-texts"))
+
     def cut(batches: Iterator[pa.RecordBatch]):
         split, base, made, held = regex.compile(pattern), TaskContext.get().partitionId() << 32, 0, _Block()
-        for b in slices(batches, "__text"):
-            if held.size and held.size + b.column("__text").nbytes > block_bytes:
-                yield held.row(split, base + made)
-                held, made = _Block(), made + 1
-            held.add(b.select(kept), b.column("__text"))
-        if held.kept:
-            yield held.row(split, base + made)
+        store, name = open_store(folder)
+        store.create_dir(name)
+        file = f"part-{base >> 32:06d}-{uuid.uuid4().hex[:12]}"
+        with store.open_output_stream(f"{name}/{file}") as out:
+
+            def row() -> pa.RecordBatch:
+                texts, words, n = held.finish(split)
+                at = out.tell()
+                for x in texts:
+                    out.write(x)
+                cols = [pa.array([base + made]), pa.array([f"{folder}/{file}"]), pa.array([[at, *map(len, texts)]], pa.list_(pa.int64()))]
+                return pa.RecordBatch.from_arrays([*cols, *(pa.array([x], pa.binary()) for x in words), pa.array([n])], ["block", "path", "places", "hashes", "lens", "data", "n"])
+
+            for b in slices(batches, "__text"):
+                if held.size and held.size + b.column("__text").nbytes > block_bytes:
+                    yield row()
+                    held, made = _Block(), made + 1
+                held.add(b.select(kept), b.column("__text"))
+            if held.kept:
+                yield row()
         pa.default_memory_pool().release_unused()
 
-    blocks = stored(rows.mapInArrow(cut, "block long, kept binary, counts binary, tokens binary, hashes binary, lens binary, data binary, n long"), "bpe-blocks")
+    blocks = stored(rows.mapInArrow(cut, "block long, path string, places array<long>, hashes binary, lens binary, data binary, n long"), "bpe-blocks")
     words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     bits = max(LEAST_BITS, (words // PART_WORDS).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for block, hashes, lens, data in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "lens", "data")), strict=True):
-                lens = unpacked(lens, np.int32)
+                lens, data = unpacked(lens, np.int32), spread_out(data)
                 edges, ends = part_edges(risen(hashes, np.uint32), bits), np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
                 some = [(p, s, e) for p, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if e > s]
                 cols = [pa.array([p for p, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64())]
-                cols += [pa.array([lens[s:e].tobytes() for _, s, e in some], pa.binary()), pa.array([data[ends[s] : ends[e]] for _, s, e in some], pa.binary())]
+                cols += [pa.array([packed(lens[s:e]) for _, s, e in some], pa.binary()), pa.array([squeezed(data[ends[s] : ends[e]]) for _, s, e in some], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "block", "lens", "data"])
 
     def replay(batches: Iterator[pa.RecordBatch]):
         coder = _coder(path, pattern)
         for part, table in runs(batches, "part"):
-            lens = [np.frombuffer(x, np.int32) for x in table["lens"].to_pylist()]
-            data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
+            lens = [unpacked(x, np.int32) for x in table["lens"].to_pylist()]
+            data = np.frombuffer(b"".join(map(spread_out, table["data"].to_pylist())), np.uint8)
             words = _binary(data, np.cumsum(np.concatenate(lens), dtype=np.int64)).dictionary_encode()
             flat, n = coder.encode_words(words.dictionary.to_pylist())
             starts, which = np.cumsum(n) - n, np.asarray(words.indices)
@@ -369,20 +388,25 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     asked = asked.repartitionById(spread, F.pmod("part", F.lit(spread)).cast("int")).sortWithinPartitions("part")
     told = asked.mapInArrow(replay, "block long, part int, lens binary, ids binary")
     none = F.lit(None).cast("binary")
-    both = blocks.select("block", F.lit(-1).alias("part"), none.alias("lens"), none.alias("ids"), "kept", "counts", "tokens").unionByName(told.select("*", *[none.alias(c) for c in ("kept", "counts", "tokens")]))
+    both = blocks.select("block", F.lit(-1).alias("part"), none.alias("lens"), none.alias("ids"), "path", "places").unionByName(told.select("*", F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<long>").alias("places")))
     place = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF) * 31, F.lit(spread)).cast("int")
     both = both.repartitionById(spread, place).sortWithinPartitions("block", "part")
 
     def join(batches: Iterator[pa.RecordBatch]):
         coder = _coder(path, pattern)
         for _, table in runs(batches, "block"):
-            own, *answers = zip(*(table[c].to_pylist() for c in ("kept", "counts", "tokens", "lens", "ids")), strict=True)
-            counts, tokens = unpacked(own[1], np.int64), unpacked(own[2], np.int32)
-            n = np.concatenate([np.empty(0, np.int32), *(unpacked(x[3], np.int32) for x in answers)]).astype(np.int64)
-            flat = np.concatenate([np.empty(0, np.uint32), *(unpacked(x[4], np.uint32) for x in answers)])
+            own, (at, *sizes) = table["path"][0].as_py(), table["places"][0].as_py()
+            store, name = open_store(own)
+            with store.open_input_file(name) as f:
+                f.seek(at)
+                held = [f.read(k) for k in sizes]
+            counts, tokens = unpacked(held[1], np.int64), unpacked(held[3], np.int32)[unpacked(held[2], np.int32)]
+            answers = table.slice(1)
+            n = np.concatenate([np.empty(0, np.int32), *(unpacked(x, np.int32) for x in answers["lens"].to_pylist())]).astype(np.int64)
+            flat = np.concatenate([np.empty(0, np.uint32), *(unpacked(x, np.uint32) for x in answers["ids"].to_pylist())])
             starts, ends = np.cumsum(n) - n, np.cumsum(counts)
-            rest = pa.ipc.open_stream(own[0]).read_all().combine_chunks()
-            del answers, table
+            rest = pa.ipc.open_stream(held[0]).read_all().combine_chunks()
+            del answers, table, held
             at = 0
             while at < len(counts):
                 before = int(ends[at] - counts[at])

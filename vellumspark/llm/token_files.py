@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import fresh_path, slices, stored
+from vellumspark.llm.common import fresh_path, open_store, slices, stored, whole_uri
 from vellumspark.llm.vocab import library_units
 
 MAGIC = b"VPFOR\x00\x00\x01"
@@ -132,14 +131,6 @@ class TokenFile:
         return decode_blocks(self.data, self.starts[first : last + 1])[start - first * BLOCK : stop - first * BLOCK]
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
-def _whole_uri(path: str) -> str:
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int | None = None, file_ids: int = 1 << 20) -> DataFrame:
     """Encodes the whole texts and writes token files under `folder`, ascending by doc_id across and within files.
 
@@ -150,14 +141,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
     again writes files of other names, and only those in the result count. file_ids: ids after
     which a file ends; one document stays in one file.
     """
-    folder = _whole_uri(folder)
+    folder = whole_uri(folder)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("doc_id"), F.col("h")).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     tail = b"" if end is None else int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]):
         units, part, seq = library_units(tokenizer, words), TaskContext.get().partitionId(), 0
-        store, base = _open(folder)
+        store, base = open_store(folder)
         store.create_dir(base)
         ids: list[bytes] = []
         own: list[int | None] = []
@@ -200,7 +191,7 @@ def read(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
-                store, name = _open(path)
+                store, name = open_store(path)
                 with store.open_input_file(name) as f:
                     file = TokenFile(f.read())
                 stops, ids = np.cumsum(file.counts), file.ids(0, file.n).astype("<u4").tobytes()
