@@ -144,3 +144,47 @@ def test_bitmaps():
 
 def test_fixed_ids():
     assert sample() == sample() and hashlib.md5(sample()).digest()
+
+
+def test_older_sections_hold_only_by_generation():
+    """A trailer entry that the newest section dropped stays dropped; an object's newest entry wins unless an older one has a higher generation."""
+    from vellumspark.documents.file import Entry, _beats
+
+    new, old = Entry(3, "n", 900, 0, 0), Entry(3, "n", 100, 0, 1)
+    assert not _beats(old, new) and _beats(old._replace(gen=2), new)
+    assert not _beats(old._replace(gen=2), new._replace(type="c")) and not _beats(old._replace(type="c", gen=5), new)
+    d = sample()
+    f = File(d)
+    bare = {"Size": f.trailer["Size"], "Root": f.trailer["Root"], "Prev": f.start}
+    more = d + b"xref\n0 0\ntrailer\n" + syntax.write(bare) + b"\nstartxref\n%d\n%%%%EOF\n" % len(d)
+    assert "Info" in f.trailer and "Info" not in File(more).trailer and texts(more) == texts(d)
+
+
+def test_page_edits():
+    w = Writer()
+    page = w.page([0, 0, 10, 10], [], {})
+    w.set_rotation(page, 90)
+    w.set_box(page, [0, 0, 5, 5], "CropBox")
+    for i in range(2):
+        w.add_content(page, w.add(stream(b"%d" % i)))
+    w.add_resource(page, "Font", Ref(9, 0), "F1")
+    w.add_resource(page, "ProcSet", "PDF")
+    p = File(w.bytes(), strict=True).pages()[0]
+    assert p.inherited["Rotate"] == 90 and p.inherited["CropBox"] == [0, 0, 5, 5] and len(p.entries["Contents"]) == 2
+    assert p.entries["Resources"] == {"Font": {"F1": Ref(9, 0)}, "ProcSet": [Name("PDF")]}
+    with pytest.raises(ValueError):
+        w.set_rotation(page, 45)
+
+
+def test_registered_ciphers_and_spaces():
+    from vellumspark.functions import colour
+
+    flip = security.Cipher(lambda h, d, n, g: d[::-1], lambda h, d, n, g, iv: d[::-1])
+    security.register_cipher("Flip", flip)
+    h = security.Handler(b"k", {"stream": "Flip"})
+    assert h.open(h.seal(b"abc", 1, 0), 1, 0) == b"abc" and h.seal(b"abc", 1, 0) == b"cba" and h.seal(b"abc", 1, 0, "string") == b"abc"
+    del security.CIPHERS["Flip"]
+    colour.register_space("DeviceN6", 6)
+    assert colour.ADDED.pop("DeviceN6") == 6
+    with pytest.raises(ValueError):
+        colour.register_space("DeviceRGB", 4)

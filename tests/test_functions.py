@@ -119,7 +119,10 @@ def test_values(spark):
 def test_chains_trees_and_steps(spark):
     refs = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, at int")
     links = spark.createDataFrame([(10, 11), (11, 12), (20, 21), (21, 20)], "at int, next int")
-    assert {r.id: r["at"] for r in graph.follow(refs, links, most=6).collect()} == {1: 12, 2: None, 3: 30}
+    assert {r.id: r["at"] for r in graph.follow(refs, links).collect()} == {1: 12, 2: None, 3: 30}
+    long = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200 + i, 200 + (i + 1) % 70) for i in range(70)], "at int, next int")
+    assert {r.id: r["at"] for r in graph.follow(spark.createDataFrame([(1, 0), (2, 40), (3, 215), (4, 100)], "id int, at int"), long).collect()} == {1: 100, 2: 100, 3: None, 4: 100}
+    assert graph.follow(refs, links.limit(0)).count() == 3 and graph.follow(refs.limit(0), links).count() == 0
     nodes = spark.createDataFrame([("d", 1, None, 90, "A"), ("d", 2, 1, None, None), ("d", 3, 2, 0, None), ("d", 4, 2, None, "B")], "doc_id string, num int, parent int, rotate int, box string")
     got = {r.num: (r.rotate, r.box) for r in graph.inherit_tree(nodes, ["rotate", "box"]).collect()}
     assert got == {1: (90, "A"), 2: (90, "A"), 3: (0, "A"), 4: (90, "B")}

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from vellumspark.plans.queries import ORACLE_SQL, QUERIES
+from vellumspark.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,5 +45,5 @@ def test_names_of_whole_texts(spark, tmp_path):
     texts = {1: "a" * 50 + " (b)/#%é中\n" * 30, 2: "", 3: "plain" * 20}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     keep = lambda b: 33 <= b <= 126 and chr(b) not in "()<>[]{}/%#"
-    for r in QUERIES["name_round_trip_whole"](spark, str(tmp_path)).collect():
+    for r in QUERIES["name_round_trip"](spark, str(tmp_path)).collect():
         assert r.name == "/" + "".join(chr(b) if keep(b) else f"#{b:02X}" for b in texts[r.doc_id].encode()) and r.back == texts[r.doc_id]

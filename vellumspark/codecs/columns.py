@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumspark.codecs import chain, fax
+from vellumspark.crypto import ciphers
 
 DECODED = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("left", T.ArrayType(T.StringType())), T.StructField("reason", T.StringType())])
 
@@ -38,6 +39,11 @@ def _fax_decode(data: pd.Series, width: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else chain.fax_decode(bytes(d), {"Columns": w, "K": n, "BlackIs1": True}) for d, w, n in zip(data, width, k, strict=True)])
 
 
+@F.pandas_udf(T.BinaryType())
+def _rc4(data: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None or k is None else ciphers.rc4(bytes(k), bytes(d)) for d, k in zip(data, key, strict=True)])
+
+
 def _args(filters, params) -> tuple[Column, Column]:
     f = filters if isinstance(filters, Column) else F.array(*[F.lit(x) for x in filters])
     p = params if isinstance(params, Column) else F.lit(json.dumps(params) if params else None).cast("string")
@@ -62,6 +68,11 @@ def fax_decode(data: Column, width: Column | int = fax.WIDTH, k: int = -1) -> Co
     return _fax_decode(data, F.lit(width) if isinstance(width, int) else width, F.lit(k))
 
 
+def rc4(data: Column, key: Column) -> Column:
+    """RC4 in either direction; null if either is."""
+    return _rc4(data, key)
+
+
 def register(spark: SparkSession) -> None:
     """SQL names: decode_stream(data, filters, params), encode_stream(...), fax_encode(rows, width, k), fax_decode(...)."""
     for name, f in (("decode_stream", _decode), ("encode_stream", _encode), ("fax_encode", _fax_encode), ("fax_decode", _fax_decode)):

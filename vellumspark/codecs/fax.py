@@ -204,8 +204,9 @@ def decode(data: bytes, width: int = WIDTH, k: int = -1, height: int = 0) -> np.
     """Rows of bits up to the end codes, the end of the data, or `height` rows."""
     width = width if width > 0 else WIDTH
     r, above, out = _Reader(data), [width], []
+    last = r.bits.rfind("1")  # only zeros follow
     while not height or len(out) < height:
-        if "1" not in r.bits[r.at :]:
+        if r.at > last:
             break
         if k < 0:
             if r.ahead(END_OF_LINE):
@@ -217,7 +218,7 @@ def decode(data: bytes, width: int = WIDTH, k: int = -1, height: int = 0) -> np.
             one = k == 0 or r.ahead("1")
             if not one:
                 r.at += 1
-            if "1" not in r.bits[r.at :] or r.bits.startswith(END_OF_LINE, r.at):
+            if r.at > last or r.bits.startswith(END_OF_LINE, r.at):
                 break
             line = _decode_1d(r, width) if one else _decode_2d(r, above, width)
         out.append(row_of(line, width))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import md5, sha256
-from typing import Any
+from typing import Any, NamedTuple
 
 from vellumspark.crypto.ciphers import aes_decrypt, aes_encrypt, cbc_decrypt, cbc_encrypt, rc4
 
@@ -72,20 +73,35 @@ class Handler:
         return md5(h).digest()[: min(len(self.key) + 5, 16)]
 
     def open(self, data: bytes, num: int, gen: int, what: str = "stream") -> bytes:
-        m = self.methods.get(what, "Identity")
-        if m == "V2":
-            return rc4(self._key(num, gen, False), data)
-        if m in ("AESV2", "AESV3"):
-            return aes_decrypt(self.key if m == "AESV3" else self._key(num, gen, True), data) if data else data
-        return data
+        return CIPHERS[self.methods.get(what, "Identity")].open(self, data, num, gen)
 
     def seal(self, data: bytes, num: int, gen: int, what: str = "stream", iv: bytes | None = None) -> bytes:
-        m = self.methods.get(what, "Identity")
-        if m == "V2":
-            return rc4(self._key(num, gen, False), data)
-        if m in ("AESV2", "AESV3"):
-            return aes_encrypt(self.key if m == "AESV3" else self._key(num, gen, True), data, iv)
-        return data
+        return CIPHERS[self.methods.get(what, "Identity")].seal(self, data, num, gen, iv)
+
+
+class Cipher(NamedTuple):
+    """How one method of crypt filters opens and seals the data of an object."""
+
+    open: Callable[[Handler, bytes, int, int], bytes]
+    seal: Callable[[Handler, bytes, int, int, bytes | None], bytes]
+
+
+def _stream_cipher(h: Handler, data: bytes, num: int, gen: int, iv: bytes | None = None) -> bytes:
+    return rc4(h._key(num, gen, False), data)
+
+
+#: Ciphers by the name that crypt filters give them.
+CIPHERS: dict[str, Cipher] = {
+    "Identity": Cipher(lambda h, d, n, g: d, lambda h, d, n, g, iv: d),
+    "V2": Cipher(_stream_cipher, _stream_cipher),
+    "AESV2": Cipher(lambda h, d, n, g: aes_decrypt(h._key(n, g, True), d) if d else d, lambda h, d, n, g, iv: aes_encrypt(h._key(n, g, True), d, iv)),
+    "AESV3": Cipher(lambda h, d, n, g: aes_decrypt(h.key, d) if d else d, lambda h, d, n, g, iv: aes_encrypt(h.key, d, iv)),
+}
+
+
+def register_cipher(name: str, cipher: Cipher) -> None:
+    """Adds a method that crypt filters may name, or replaces one."""
+    CIPHERS[name] = cipher
 
 
 def _methods(e: dict[str, Any]) -> dict[str, str]:
@@ -98,7 +114,7 @@ def _methods(e: dict[str, Any]) -> dict[str, str]:
         if name == "Identity":
             return name
         cfm = str(filters.get(name, {}).get("CFM", "None"))
-        if cfm not in ("V2", "AESV2", "AESV3"):
+        if cfm == "Identity" or cfm not in CIPHERS:
             raise SecurityError(f"crypt filter {name} isn't supported")
         return cfm
 

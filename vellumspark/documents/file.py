@@ -27,6 +27,11 @@ class Entry(NamedTuple):
     section: int  # 0 is the newest
 
 
+def _beats(older: Entry, newer: Entry) -> bool:
+    """Whether an entry of an older section holds against one of a newer one: a higher generation does, but not against one inside an object stream."""
+    return "c" not in (older.type, newer.type) and older.gen > newer.gen
+
+
 @dataclass
 class Page:
     ref: Ref
@@ -93,9 +98,9 @@ class File:
             found, trailer = self._table(p, len(seen) - 1) if self.data.startswith(b"xref", p.at) else self._xref_stream(p, len(seen) - 1)
             self.sections += found
             for e in found:
-                self.entries.setdefault(e.num, e)  # the newest section wins
-            for k, v in trailer.items():
-                self.trailer.setdefault(k, v)
+                if e.num not in self.entries or _beats(e, self.entries[e.num]):
+                    self.entries[e.num] = e
+            self.trailer = self.trailer or trailer  # the newest one alone: what it dropped stays dropped
             at = trailer.get("Prev")
 
     def _table(self, p: Parser, section: int) -> tuple[list[Entry], dict[str, Any]]:

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.documents.file import File, filters_of
-from vellumspark.documents.syntax import Ref, Stream, kind_of, references, to_json
-from vellumspark.documents.write import merge, select_pages
+from vellumspark.documents.syntax import Name, Ref, Stream, kind_of, references, to_json
+from vellumspark.documents.write import Writer, merge, select_pages, stream
 
-OBJECTS = "doc_id string, obj_num int, gen int, kind string, value_json string, filters array<string>, params_json string, start long, raw binary, edges array<struct<path:string,num:int,gen:int>>, corrupt_reason string"
+OBJECTS = "doc_id string, obj_num int, gen int, kind string, value_json string, filters array<string>, params_json string, start long, raw binary, space_json string, edges array<struct<path:string,num:int,gen:int>>, corrupt_reason string"
 XREF = "doc_id string, obj_num int, type string, off long, gen int, section int, corrupt_reason string"
 PAGES = "doc_id string, page_no int, num int, gen int, mediabox array<float>, cropbox array<float>, rotate int, resources_json string, contents array<struct<num:int,gen:int>>, entries_json string, corrupt_reason string"
+#: Rows of one file that are made at once.
+ROWS_AT_ONCE = 512
 INFO = "doc_id string, version string, pages int, objects int, encrypted boolean, trailer_json string, root_json string, info_json string, corrupt_reason string"
 
 
@@ -37,36 +39,60 @@ def _scan(docs: DataFrame, schema: str, rows: Callable[[str, File], Iterator[tup
         arrow = to_arrow_schema(fields)
         for b in batches:
             for doc_id, content in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                out, f = [], None
                 try:
                     if content is None:
                         raise ValueError("no content")
                     f = File(content, password)
-                    out = list(rows(doc_id, f))
+                    for r in rows(doc_id, f):
+                        if len(out) == ROWS_AT_ONCE:  # the first rows wait, as problems may still be found
+                            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out[1:]], schema=arrow)
+                            del out[1:]
+                        out.append(r)
                     if f.problems and out:
                         out[0] = (*out[0][:-1], "; ".join(f.problems))
                 except Exception as e:  # a broken file is a row, not a failed job
-                    out = [(doc_id, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
+                    why = f"{type(e).__name__}: {e}"
+                    out = [(*out[0][:-1], why), *out[1:]] if out else [(doc_id, *[None] * (len(names) - 2), why)]
+                if out:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
 
     return docs.select("doc_id", "content").mapInArrow(run, fields)
 
 
+def _resolved(f: File, v: Any, depth: int = 8) -> Any:
+    """A value as JSON without references; a stream is its decoded data as a string, with its entries."""
+    v = f.fetch(v)
+    if isinstance(v, Stream):
+        return {"$hex": f.decode(v).data.hex(), "entries": {k: _resolved(f, x, depth - 1) for k, x in v.entries.items() if k in ("N", "Range")}}
+    if isinstance(v, list) and depth:
+        return [_resolved(f, x, depth - 1) for x in v]
+    if isinstance(v, dict) and depth:
+        return {k: _resolved(f, x, depth - 1) for k, x in v.items()}
+    return to_json(v)
+
+
 def _dump(v: Any) -> str:
     return json.dumps(to_json(v), ensure_ascii=True)
 
 
 def objects(docs: DataFrame, password: bytes = b"") -> DataFrame:
-    """All objects: key, kind, value as VARIANT, and of streams filters, their parameters, place and raw (decrypted, not decoded) data."""
+    """All objects: key, kind, value as VARIANT, and of streams filters, their parameters, place and raw (decrypted, not decoded) data.
+
+    Of images, space_json is the colour space with its references resolved and its streams decoded.
+    """
 
     def rows(doc_id: str, f: File):
         for ref in f.refs():
             v = f.object(ref)
-            names, params, start, raw = None, None, None, None
+            names, params, start, raw, space = None, None, None, None, None
             if isinstance(v, Stream):
                 names, p = filters_of(v.entries, f.fetch)
                 params, start, raw = _dump(p), v.start, v.raw
+                if v.entries.get("Subtype") == "Image":
+                    space = json.dumps(_resolved(f, v.entries.get("ColorSpace")))
             edges = [{"path": path, "num": r.num, "gen": r.gen} for path, r in references(v)]
-            yield doc_id, ref.num, ref.gen, kind_of(v), _dump(v), names, params, start, raw, edges, None
+            yield doc_id, ref.num, ref.gen, kind_of(v), _dump(v), names, params, start, raw, space, edges, None
 
     out = _scan(docs, OBJECTS, rows, password)
     return out.withColumn("value", F.parse_json("value_json")).drop("value_json")
@@ -137,3 +163,54 @@ def merged(docs: DataFrame, group: str, order: list[str], password: bytes = b"")
         return pa.table({"doc_id": pa.array([key[0].as_py()], pa.string()), "content": pa.array([merge(t["content"].to_pylist(), password)], pa.binary())})
 
     return docs.withColumn(group, F.col(group).cast("string")).groupBy(group).applyInArrow(run, "doc_id string, content binary")
+
+
+def built(rows: DataFrame, user: bytes | None = None, owner: bytes = b"", revision: int = 3, aes: bool = False) -> DataFrame:
+    """doc_id, content: a file made of each row, and nothing else of it is kept.
+
+    rows: doc_id (string); texts (array of string): a page each, its content; optionally title, filters
+    (array of string) and params_json, the chain that contents are encoded by, boxes (array of array of
+    double) and turns (array of int). Null texts give a file without pages. Encrypted if a user password
+    is given. Object 1 is the page tree, 2 the information; page i (from 1) is object 2 i + 2 and its
+    content the one before; then comes the catalog.
+    """
+    given = [c for c in ("title", "filters", "params_json", "boxes", "turns") if c in rows.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            cols = {c: b.column(c).to_pylist() for c in ["doc_id", "texts", *given]}
+            for i in range(b.num_rows):
+                r = {k: v[i] for k, v in cols.items()}
+                w = Writer()
+                w.info = w.add({"Title": (r.get("title") or "").encode()})
+                params = json.loads(r["params_json"]) if r.get("params_json") else None
+                for k, text in enumerate(r["texts"] or []):
+                    body = w.add(stream((text or "").encode(), r.get("filters"), params))
+                    w.page((r.get("boxes") or {k: [0, 0, 612, 792]})[k], [body], rotate=r["turns"][k] if r.get("turns") else 0)
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]]), pa.array([w.bytes(user, owner, revision, aes)], pa.binary())], ["doc_id", "content"])
+
+    return rows.select("doc_id", "texts", *given).mapInArrow(run, "doc_id string, content binary")
+
+
+def built_images(rows: DataFrame) -> DataFrame:
+    """doc_id, content: a file of one page and one image per row.
+
+    rows: doc_id (string), data (binary, samples), width, height, bits, space (a name, `ICCBased` with
+    icc components, or `Indexed` over DeviceRGB with a palette), icc (int), palette (binary), filters
+    (array of string). Object 2 is the image, or follows its profile or palette.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for r in b.to_pylist():
+                w = Writer()
+                space: Any = Name(r["space"])
+                if r["space"] == "ICCBased":
+                    space = [space, w.add(stream(b"profile", ["FlateDecode"], N=r["icc"]))]
+                elif r["space"] == "Indexed":
+                    space = [space, Name("DeviceRGB"), len(r["palette"]) // 3 - 1, w.add(stream(r["palette"], ["FlateDecode"]))]
+                image = w.add(stream(r["data"], r["filters"], Type=Name("XObject"), Subtype=Name("Image"), Width=r["width"], Height=r["height"], BitsPerComponent=r["bits"], ColorSpace=space))
+                w.page([0, 0, 612, 792], [], {"XObject": {"Im1": image}})
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]]), pa.array([w.bytes()], pa.binary())], ["doc_id", "content"])
+
+    return rows.select("doc_id", "data", "width", "height", "bits", "space", "icc", "palette", "filters").mapInArrow(run, "doc_id string, content binary")

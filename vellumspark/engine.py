@@ -9,6 +9,7 @@ from vellumspark import functions as fn
 from vellumspark.codecs.columns import decode_stream
 from vellumspark.documents import frames
 from vellumspark.operators import graph
+from vellumspark.operators.rows import ends
 from vellumspark.sinks import images
 from vellumspark.sinks.files import write_files
 
@@ -36,9 +37,8 @@ class Engine:
 
     def ends(self) -> DataFrame:
         """In-use entries of the newest sections with the offset where each ends."""
-        newest = graph.newest_entries(self.xref().where("obj_num is not null").select("doc_id", "obj_num", "type", "off", "gen", "section", (-F.col("section")).alias("age")), ["doc_id", "obj_num"], "age")
-        from vellumspark.operators.rows import ends
-
+        entries = self.xref().where("obj_num is not null").select("doc_id", "obj_num", "type", "off", "gen", "section", (-F.col("section")).alias("age"))
+        newest = graph.newest_entries(entries, ["doc_id", "obj_num"], "age", "gen", "type")
         return ends(newest.where("type = 'n'").drop("age"), ["doc_id"], "off", "end_off")
 
     def pages(self) -> DataFrame:
@@ -58,6 +58,31 @@ class Engine:
         s = self.objects().where("kind = 'stream'").withColumn("d", decode_stream(F.col("raw"), F.col("filters"), F.col("params_json")))
         return s.select("doc_id", "obj_num", "gen", "value", "d.data", "d.left", "d.reason")
 
+    def output(self, stage: str = "default") -> DataFrame:
+        """Objects at one stage of decoding: doc_id, obj_num, gen, data, reason.
+
+        none: the value as JSON text, without data; compressed: streams' data as stored; raw: decoded
+        data; hex: the same as lines of a dump; image: image files; default: decoded data that is
+        text, else nothing. Objects that aren't streams are their value in every stage but image.
+        """
+        if stage == "image":
+            return self.images().select("doc_id", "obj_num", "gen", "data", "reason")
+        if stage not in ("none", "compressed", "raw", "hex", "default"):
+            raise ValueError(f"no stage {stage}")
+        o = self.objects().where("obj_num is not null")
+        value, plain = F.to_json("value").cast("binary"), F.col("kind") != "stream"
+        none = F.lit(None)
+        if stage in ("none", "compressed"):
+            data = value if stage == "none" else F.when(plain, value).otherwise(F.col("raw"))
+            return o.select("doc_id", "obj_num", "gen", data.alias("data"), none.cast("string").alias("reason"))
+        d = o.withColumn("d", F.when(~plain, decode_stream(F.col("raw"), F.col("filters"), F.col("params_json"))))
+        shown = F.col("d.data")
+        if stage == "hex":
+            shown = F.array_join(fn.hexdump(F.col("d.data")), "\n").cast("binary")
+        elif stage == "default":
+            shown = F.when(fn.printable(F.decode(F.substring("d.data", 1, 256), "ISO-8859-1")), F.col("d.data"))
+        return d.select("doc_id", "obj_num", "gen", F.when(plain, value).otherwise(shown).alias("data"), "d.reason")
+
     def printable(self) -> DataFrame:
         """Decoded streams that aren't images and whose first 256 bytes are text."""
         kind = F.try_variant_get("value", "$.Subtype['$name']", "string")

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 #: Components of each colour space family; ICC has its own N (fixed values).
 COMPONENTS = {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4, "CalGray": 1, "CalRGB": 3, "Lab": 3, "Indexed": 1}
+#: Colour spaces that callers have added, with their components.
+ADDED: dict[str, int] = {}
 UNIT_MATRIX = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
+def register_space(kind: str, components: int) -> None:
+    """Adds a colour space, or gives one that was added another number of components; the built-in ones can't be changed."""
+    if kind in COMPONENTS or kind == "ICCBased" or components < 1:
+        raise ValueError(f"{kind} can't be registered")
+    ADDED[kind] = components
+
+
 def component_count(kind: Column, icc: Column | None = None) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in COMPONENTS.items() for x in kv])
+    """Components of a colour space; of ICCBased, icc; null for an unknown one."""
+    table = F.create_map(*[F.lit(x) for kv in (COMPONENTS | ADDED).items() for x in kv])
     return F.when(kind == "ICCBased", icc if icc is not None else F.lit(None).cast("int")).otherwise(table[kind])
 
 

@@ -96,9 +96,8 @@ def run_lengths(changes: Column) -> Column:
 
 
 def bits_of_changes(changes: Column) -> Column:
-    """Inverse of change_positions: an array of bits."""
-    width = F.element_at(changes, -1)
-    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.size(F.filter(changes, lambda c: c <= i)) % 2)).otherwise(F.array().cast("array<int>"))
+    """Inverse of change_positions: an array of bits. Run i has colour i mod 2, so the runs are written one after another."""
+    return F.flatten(F.transform(run_lengths(changes), lambda n, i: F.array_repeat((i % 2).cast("int"), n)))
 
 
 def fit_scale(width: Column, height: Column, most_width: int = 800, most_height: int = 600) -> Column:

@@ -184,17 +184,23 @@ def printable(c: Column, first: int = 256) -> Column:
 
 
 def hexdump(c: Column) -> Column:
-    """Lines of 16 bytes: offset, hex in two groups of 8, printable characters. c is binary; an empty value has no lines."""
+    """Lines of 16 bytes: offset, hex in two groups of 8, printable characters. c is binary; an empty value has no lines.
+
+    Digits and characters of the whole value are made once, as bytes, so that a line takes its pieces by place.
+    """
     n = F.length(c)
     lines = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int"))).otherwise(F.array().cast("array<int>"))
+    digits = F.regexp_replace(to_hex(c), "(..)", "$1 ").cast("binary")
+    shown = F.regexp_replace(F.decode(c, "ISO-8859-1"), r"[^\x20-\x7e]", ".").cast("binary")
+    parts = F.struct(digits.alias("d"), shown.alias("s"))
 
-    def line(i: Column) -> Column:
-        part = F.substring(c, i * 16 + 1, 16)
-        digits = F.regexp_replace(F.rpad(F.regexp_replace(to_hex(part), "(..)", "$1 "), 48, " "), "^(.{24})", "$1 ")
-        shown = F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7e]", ".")
-        return F.concat(F.lpad(to_hex(i.cast("long") * 16), 8, "0"), F.lit("  "), digits, F.lit(" "), shown)
+    def line(p: Column, i: Column) -> Column:
+        at = lambda k: F.rpad(F.substring(p["d"], i * 48 + k, F.lit(24)), 24, b" ")
+        pieces = F.concat(F.lit(b"  "), at(1), F.lit(b" "), at(25), F.lit(b" "), F.substring(p["s"], i * 16 + 1, F.lit(16)))
+        return F.concat(F.lpad(to_hex(i.cast("long") * 16), 8, "0"), pieces.cast("string"))
 
-    return F.transform(lines, line)
+    # an array of one keeps the whole value's pieces from being made again for each line
+    return F.flatten(F.transform(F.array(parts), lambda p: F.transform(lines, lambda i: line(p, i))))
 
 
 def byte_range(c: Column, start: Column | int, length: Column | int | None = None) -> Column:
@@ -211,7 +217,31 @@ def xref_line(offset: Column, gen: Column, kind: Column) -> Column:
     return F.format_string("%010d %05d %s \n", offset.cast("long"), gen.cast("long"), kind)
 
 
+def machine_step(transitions: dict[tuple[str, str], str]):
+    """A function of two columns, state and event, to the next state; without a transition the state stays."""
+    table = F.create_map(*[F.lit(x) for (s, e), t in transitions.items() for x in (f"{s}\x00{e}", t)])
+    return lambda s, e: F.coalesce(table[F.concat(s, F.lit("\x00"), e)], s)
+
+
 def run_machine(events: Column, transitions: dict[tuple[str, str], str], start: str) -> Column:
     """The state after an array of events; an event without a transition from the present state changes nothing."""
-    table = F.create_map(*[F.lit(x) for (s, e), t in transitions.items() for x in (f"{s}\x00{e}", t)])
-    return F.aggregate(events, F.lit(start), lambda s, e: F.coalesce(table[F.concat(s, F.lit("\x00"), e)], s))
+    return F.aggregate(events, F.lit(start), machine_step(transitions))
+
+
+#: What a backslash and a letter stand for in a literal string (fixed values).
+ESCAPES = {"n": "0A", "r": "0D", "t": "09", "b": "08", "f": "0C"}
+
+
+def parse_string(c: Column) -> Column:
+    """The bytes of a literal string in parentheses: escapes, octal codes, broken lines and line ends are resolved; null without the parentheses."""
+    body = F.regexp_extract(c, r"(?s)^\((.*)\)$", 1)
+    parts = F.regexp_extract_all(body, F.lit(r"(?s)(\\[0-7]{1,3}|\\\r\n|\\.|\r\n?|[^\\\r]+)"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+
+    def one(x: Column) -> Column:
+        tail = F.substring(x, 2, 3)
+        octal = F.lpad(F.conv((F.conv(tail, 8, 10).cast("int") % 256).cast("string"), 10, 16), 2, "0")
+        out = F.when(x.rlike(r"^\\[0-7]"), octal).when(x.rlike(r"^\\[\r\n]"), "").when(x.startswith("\\"), F.coalesce(table[tail], F.hex(tail.cast("binary"))))
+        return out.when(x.startswith("\r"), "0A").otherwise(F.hex(x.cast("binary")))
+
+    return F.when(c.rlike(r"(?s)^\(.*\)$"), F.unhex(F.array_join(F.transform(parts, one), "")))

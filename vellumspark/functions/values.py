@@ -37,6 +37,11 @@ def get_reference(v: Column, path: str = "$") -> Column:
     return F.when(num.isNotNull(), F.struct(num.alias("num"), F.try_variant_get(v, f"{path}['$ref'][1]", "int").alias("gen")))
 
 
+def is_null_object(v: Column) -> Column:
+    """Whether a dynamic value is missing or the null object."""
+    return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
+
+
 def name_index(c: Column, names: list[str]) -> Column:
     """Place of a value in a list; 0 if null; an error if it isn't listed."""
     at = F.array_position(F.array(*[F.lit(x) for x in names]), c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.operators.base import checkpointed
+from vellumspark.operators.base import stored
 
 
 def dereference(edges: DataFrame, objects: DataFrame, keys: list[str], target: list[str]) -> DataFrame:
@@ -15,30 +15,52 @@ def dereference(edges: DataFrame, objects: DataFrame, keys: list[str], target: l
     return edges.join(o, on, "left").drop(*[f"__{k}" for k in keys])
 
 
-def follow(refs: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
-    """Follows chains of references (id, at) through links (at, next) to their ends; a cycle ends in null."""
-    done, open_ = None, checkpointed(refs)
-    for _ in range(most):
-        step = checkpointed(open_.join(links, "at", "left"))
-        ended = step.where("next is null").select("id", "at")
-        done = ended if done is None else done.unionByName(ended)
-        open_ = step.where("next is not null").select("id", F.col("next").alias("at"))
-        if not open_.limit(1).count():
-            return done
-    return done.unionByName(open_.select("id", F.lit(None).cast(open_.schema["at"].dataType).alias("at")))
+#: Parts that a hot key of a reference join is split into.
+SALTS = 16
+
+
+def _spread(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def follow(refs: DataFrame, links: DataFrame) -> DataFrame:
+    """Follows chains of references (id, at) through links (at, next) to their ends; a cycle ends in null.
+
+    Chains of any length: the jump table doubles its reach each round, and once it reaches further
+    than there are links, what is still open goes round in a cycle. Each `at` has one link at most.
+    """
+    jump = stored(links.where("at is not null and next is not null").select("at", "next"), "jumps")
+    most, reach, out = jump.count(), 1, refs.select("id", "at", F.lit(True).alias("open"))
+    while True:
+        step = jump.select("at", "next")
+        out = stored(out.join(step, "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("open")), "chains")
+        if not out.where("open").limit(1).count():
+            return out.select("id", "at")
+        if reach > most:
+            return out.select("id", F.when(~F.col("open"), F.col("at")).alias("at"))
+        far = jump.select(F.col("at").alias("next"), F.col("next").alias("far"))
+        jump = stored(jump.join(far, "next", "left").select("at", F.coalesce("far", "next").alias("next")), "jumps")
+        reach *= 2
 
 
 def closure(edges: DataFrame, starts: DataFrame, root: str = "root", node: str = "node") -> DataFrame:
     """All (root, node) that edges (src, dst) reach, starts (root, node) included.
 
     Rounds of a frontier join; each round keeps only what wasn't seen, so cycles end, and its result
-    is checkpointed. As many rounds as the longest shortest path.
+    is stored once. As many rounds as the longest shortest path. Edges are stored once, in SALTS
+    copies, so that a node that many roots reach is joined in as many parts.
     """
-    front = checkpointed(starts.select(root, node).distinct())
+    front = stored(starts.select(root, node).distinct(), "front")
+    copied = stored(_copied(edges.select("src", "dst").distinct()), "edges")
     seen = front
     while True:
-        new = front.join(edges, F.col(node) == F.col("src")).select(root, F.col("dst").alias(node)).distinct()
-        front = checkpointed(new.join(seen, [root, node], "left_anti"))
+        step = copied.withColumnRenamed("src", node)
+        new = _spread(front, root).join(step, [node, "__salt"]).select(root, F.col("dst").alias(node)).distinct()
+        front = stored(new.join(seen, [root, node], "left_anti"), "front")
         if not front.limit(1).count():
             return seen
         seen = seen.unionByName(front)
@@ -50,10 +72,10 @@ def number(reached: DataFrame, root: str = "root", node: str = "node", first: in
 
 
 def renumber_edges(edges: DataFrame, ids: DataFrame, root: str = "root", node: str = "node") -> DataFrame:
-    """Edges between reached nodes in new ids: root, src, dst."""
-    a = ids.select(F.col(root), F.col(node).alias("src"), F.col("new_id").alias("new_src"))
+    """Edges between reached nodes in new ids: root, src, dst. The second join is by (root, node); the first one splits nodes of many roots."""
+    a = _spread(ids.select(F.col(root), F.col(node).alias("src"), F.col("new_id").alias("new_src")), root)
     b = ids.select(F.col(root), F.col(node).alias("dst"), F.col("new_id").alias("new_dst"))
-    return edges.join(a, "src").join(b, [root, "dst"]).select(root, F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+    return _copied(edges).join(a, ["src", "__salt"]).join(b, [root, "dst"]).select(root, F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
 
 
 def inherit(levels: list[DataFrame], parents: list[str], keys: list[str], attributes: list[str]) -> DataFrame:
@@ -69,37 +91,50 @@ def inherit(levels: list[DataFrame], parents: list[str], keys: list[str], attrib
 
 
 def inherit_tree(nodes: DataFrame, attributes: list[str], doc: str = "doc_id", key: str = "num", parent: str = "parent") -> DataFrame:
-    """The same in a tree of any depth: nodes whose parent is null are roots. A round per level, each checkpointed; nodes on a cycle don't occur."""
-    front = checkpointed(nodes.where(F.col(parent).isNull()))
+    """The same in a tree of any depth: nodes whose parent is null are roots. A round per level, each stored; nodes on a cycle don't occur."""
+    front = stored(nodes.where(F.col(parent).isNull()))
     out = front
     while True:
         up = front.select(doc, F.col(key).alias(parent), *[F.col(a).alias(f"__{a}") for a in attributes])
         cols = [F.coalesce(a, f"__{a}").alias(a) if a in attributes else F.col(a) for a in nodes.columns]
-        front = checkpointed(nodes.join(up, [doc, parent]).select(*cols))
+        front = stored(nodes.join(up, [doc, parent]).select(*cols))
         if not front.limit(1).count():
             return out
         out = out.unionByName(front)
 
 
-def longest_prefix(rows: DataFrame, text: Column, prefixes: DataFrame, most: int = 128) -> DataFrame:
+def longest_prefix(rows: DataFrame, text: Column, prefixes: DataFrame, host_length: int | None = None) -> DataFrame:
     """Adds prefix and prefix_length: the longest of prefixes (prefix) that the text starts with, -1 if none.
 
-    Distinct texts are joined by their heads of the lengths that occur (at most `most` numbers, one row), then the rows by their text.
+    host_length: prefixes of that length (whole addresses) count only where no other one matches.
+    Distinct texts are joined by their heads of all lengths that occur (numbers in one row, no more
+    than the longest prefix has characters), then the rows by their text.
     """
-    lengths = prefixes.where(F.length("prefix") <= most).select(F.length("prefix").alias("__n")).distinct().agg(F.collect_set("__n").alias("__ns"))
+    lengths = prefixes.select(F.length("prefix").alias("__n")).distinct().agg(F.collect_set("__n").alias("__ns"))
     known = prefixes.select("prefix").distinct()
     keyed = rows.withColumn("__t", text)
     heads = keyed.select("__t").distinct().join(F.broadcast(lengths)).select("__t", F.explode("__ns").alias("__n")).where(F.length("__t") >= F.col("__n"))
     heads = heads.select("__t", F.col("__t").substr(F.lit(1), F.col("__n")).alias("prefix"))
-    best = heads.join(known, "prefix").groupBy("__t").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    rank = F.length("prefix") if host_length is None else F.when(F.length("prefix") == host_length, -1).otherwise(F.length("prefix"))
+    best = heads.join(known, "prefix").groupBy("__t").agg(F.max_by("prefix", rank).alias("prefix"))
     out = keyed.join(best, "__t", "left").drop("__t")
     return out.withColumn("prefix_length", F.coalesce(F.length("prefix"), F.lit(-1)).cast("long"))
 
 
-def newest_entries(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of each key the entry of the newest section. A grouped maximum, combined before the shuffle."""
+def newest_entries(entries: DataFrame, keys: list[str], order: str, gen: str | None = None, kind: str | None = None) -> DataFrame:
+    """Of each key the entry of the newest section. A grouped maximum, combined before the shuffle.
+
+    gen, kind: an older entry of a higher generation wins, but neither against nor as one of kind "c"
+    (inside an object stream), whose `gen` is a place.
+    """
     rest = [c for c in entries.columns if c not in keys]
-    best = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__e"))
+    best = entries.groupBy(*keys)
+    newest = F.max_by(F.struct(*rest), F.col(order)).alias("__e")
+    if gen is None or kind is None:
+        best = best.agg(newest)
+    else:
+        highest = F.max_by(F.when(F.col(kind) != "c", F.struct(*rest)), F.when(F.col(kind) != "c", F.struct(gen, order))).alias("__g")
+        best = best.agg(newest, highest).withColumn("__e", F.when((F.col("__e")[kind] == "c") | F.col("__g").isNull(), F.col("__e")).otherwise(F.col("__g")))
     return best.select(*keys, *[F.col("__e")[c].alias(c) for c in rest])
 
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from vellumspark.functions.text import machine_step
+from vellumspark.operators.base import stored
+
 FILTERS = ("none", "sub", "up", "average", "paeth")
 
 
@@ -31,6 +34,31 @@ def sub_decode(x: Column, line: list[str], order: list[str], step: int = 1, modu
     return F.pmod(F.sum(x).over(Window.partitionBy(*line, place).orderBy(*order)), F.lit(modulus))
 
 
+def up_decode(x: Column, line: str, place: list[str], modulus: int = 256) -> Column:
+    """Running sums down each column of samples: line numbers the rows, place names the column."""
+    return F.pmod(F.sum(x).over(Window.partitionBy(*place).orderBy(line)), F.lit(modulus))
+
+
+def average_decode(residues: Column, above: Column) -> Column:
+    """A line of samples from its residues and the decoded line above; each needs the one to its left, so the line is folded."""
+    return _folded(residues, above, lambda left, up, _: F.floor((left + up) / 2).cast("int"))
+
+
+def paeth_decode(residues: Column, above: Column) -> Column:
+    return _folded(residues, above, paeth)
+
+
+def _folded(residues: Column, above: Column, guess) -> Column:
+    pairs = F.arrays_zip(residues.alias("r"), above.alias("u"))
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("left"), F.lit(0).alias("corner"))
+
+    def step(s: Column, p: Column) -> Column:
+        x = F.pmod(p["r"] + guess(s["left"], p["u"], s["corner"]), F.lit(256)).cast("int")
+        return F.struct(F.concat(s["out"], F.array(x)).alias("out"), x.alias("left"), p["u"].cast("int").alias("corner"))
+
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+
 def paeth(left: Column, up: Column, corner: Column) -> Column:
     """Of left, up and corner the one nearest to left + up - corner, in this order on ties."""
     p = left + up - corner
@@ -72,10 +100,48 @@ def page_slice(df: DataFrame, doc: list[str], order: list[str], start: int, leng
     return numbered(df, doc, order).where(F.col("page_no").between(start, start + length - 1))
 
 
+def running(df: DataFrame, doc: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the document's rows before this one, 0 for the first.
+
+    A document of any size is dealt out by ranges of its order: each range sums for itself, the
+    ranges' totals are summed (a row per range), and both are added. Rows equal in doc and order
+    may take either place.
+    """
+    parts = df.withColumn("__v", value).withColumn("__r", F.rand(7)).repartitionByRange(*doc, *order, "__r").withColumn("__p", F.spark_partition_id())
+    parts = stored(parts, "ranges")
+    totals = parts.groupBy(*doc, "__p").agg(F.sum("__v").alias("__t"))
+    before = F.sum("__t").over(over(doc, ["__p"]).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate(doc)], F.col("__p").alias("__q"), F.coalesce(before, F.lit(0)).alias("__o"))
+    inside = F.sum("__v").over(over([*doc, "__p"], [*order, "__r"]).rowsBetween(Window.unboundedPreceding, -1))
+    on = [F.col(c).eqNullSafe(F.col(f"__d{i}")) for i, c in enumerate(doc)]
+    joined = parts.withColumn("__i", F.coalesce(inside, F.lit(0))).join(offsets, [*on, F.col("__p") == F.col("__q")])
+    return joined.withColumn(name, F.col("__o") + F.col("__i")).select(*df.columns, name)
+
+
 def merge(files: list[DataFrame], order: list[str]) -> DataFrame:
-    """All rows of files of one schema with file_no (from 1) and page_no."""
+    """All rows of files of one schema with file_no (from 1) and page_no. A file's rows are numbered in parts."""
     parts = [f.withColumn("file_no", F.lit(i)) for i, f in enumerate(files, 1)]
-    return numbered(reduce(DataFrame.unionByName, parts), ["file_no"], order)
+    placed = running(reduce(DataFrame.unionByName, parts), ["file_no"], order, F.lit(1), "page_no")
+    return placed.withColumn("page_no", (F.col("page_no") + 1).cast("long"))
+
+
+def final_state(events: DataFrame, key: list[str], order: str, event: str, transitions: dict[tuple[str, str], str], start: str, name: str = "state", chunk: int = 4096) -> DataFrame:
+    """The state of a machine after each key's events in their order (a whole number).
+
+    Events are cut into chunks by order div chunk. A chunk's events are folded for every state that
+    the chunk may begin in; a key then folds its chunks' outcomes. No row holds more events than share
+    a chunk. An event without a transition from the present state changes nothing.
+    """
+    states = sorted({start, *[s for s, _ in transitions], *transitions.values()})
+    cut = F.floor(F.col(order) / chunk)
+    chunks = events.groupBy(*key, cut.alias("__c")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(event).alias("e")))).alias("l"))
+    step = machine_step(transitions)
+    ends = F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("l", F.lit(s), lambda a, x: step(a, x["e"])) for s in states]))
+    folded = chunks.select(*key, F.struct(F.col("__c").alias("c"), ends.alias("m")).alias("x"))
+    # maps don't sort, so the chunks' numbers do
+    listed = folded.groupBy(*key).agg(F.map_from_entries(F.collect_list("x")).alias("m"))
+    state = F.aggregate(F.array_sort(F.map_keys("m")), F.lit(start), lambda a, c: F.col("m")[c][a])
+    return listed.select(*key, state.alias(name))
 
 
 def first_match(df: DataFrame, doc: list[str], order: list[str]) -> DataFrame:

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark import functions as fn
 from vellumspark.operators import graph, rows
+from vellumspark.plans.registry import query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax"]
 
 
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 NODES_SQL = """edges as (
   select 'o' || o_orderkey as src, 'c' || o_custkey as dst from orders
   union all select 'c' || c_custkey, 'n' || c_nationkey from customer
@@ -293,25 +277,40 @@ def dict_get(t):
 select event_id, ip - ip % cast(2 ** (32 - n) as bigint) = (ip // 65536) * 65536 as inside, case when n % 5 = 0 then -1 else n end as mask_bits from a""")
 def ip_prefixes(t):
     e = t("events").select("event_id", ((F.col("event_id") * 2654435761) % 4294967296).alias("ip"), (F.col("event_id") % 33).alias("n"))
-    prefix = F.floor(F.col("ip") / 65536) * 65536
-    inside = F.col("ip") - F.pmod("ip", F.pow(F.lit(2.0), 32 - F.col("n")).cast("long")) == prefix
+    inside = fn.ip4_in_prefix(F.col("ip"), F.floor(F.col("ip") / 65536) * 65536, F.col("n"))
     left = F.lit(4294967296) - F.pow(F.lit(2.0), 32 - F.col("n")).cast("long")
     mask = F.when(F.col("n") % 5 == 0, F.lit(0xFF00FF00)).otherwise(left)
     return e.select("event_id", inside.alias("inside"), fn.mask_length(mask).cast("long").alias("mask_bits"))
 
 
-@query("select n_nationkey, case n_name when 'x' then 9 else cast(n_regionkey as int) end as place, regexp_replace(lower(n_name), '[ _]', '', 'g') as plain from nation")
+@query("""with a as (select event_id, lower(md5(cast(event_id as varchar))) as h, event_id % 129 as n from events),
+b as (select *, array_to_string(list_transform(string_split(h, ''), lambda c: lpad(bin(cast('0x' || c as int)), 4, '0')), '') as bits from a)
+select event_id, substr(bits, 65, 64) = repeat('0', 64) or n <= 64 or not contains(substr(bits, 65, cast(n as int) - 64), '1') as inside, case when n % 4 = 0 then cast(n as int) when n = 1 then 1 else -1 end as mask_bits from b""")
+def ip6_prefixes(t):
+    """Addresses of 16 bytes against their own first half, and masks with and without gaps."""
+    e = t("events").select("event_id", (F.col("event_id") % 129).cast("int").alias("n"), F.unhex(F.md5(F.col("event_id").cast("string"))).alias("ip"))
+    ones = lambda n: F.concat(F.repeat(F.lit("1"), n), F.repeat(F.lit("0"), 128 - n))
+    text = F.when(F.col("n") % 4 == 0, ones(F.col("n"))).when(F.col("n") == 1, ones(F.lit(1))).otherwise(F.concat(F.lit("01"), F.repeat(F.lit("0"), F.lit(126))))
+    mask = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(text, i * 4 + 1, F.lit(4)), 2, 16)), ""))
+    # the first half of an address, as a prefix: it holds for lengths up to 64 once the address is cut there too
+    prefix = F.concat(F.substring("ip", 1, 8), F.lit(bytes(8)))
+    address = F.when(F.col("n") <= 64, prefix).otherwise(F.col("ip"))
+    length = F.when(F.col("n") <= 64, F.lit(64)).otherwise(F.col("n"))
+    return e.select("event_id", fn.ip6_in_prefix(address, prefix, length).alias("inside"), fn.mask_length(mask, 128).alias("mask_bits"))
+
+
+@query("""select doc_id, case source when 'src1' then 9 when 'src2' then 4 else 0 end as place,
+replace(replace(replace(replace(replace(replace(replace(replace(text, 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), ' ', '') as plain from documents""")
 def switch_plain(t):
-    n = t("nation")
-    return n.select("n_nationkey", F.when(F.col("n_name") == "x", 9).otherwise(F.col("n_regionkey")).cast("int").alias("place"), F.replace(fn.pure_ascii(F.lower("n_name")), F.lit("_"), F.lit("")).alias("plain"))
+    return t("documents").select("doc_id", fn.switch(F.col("source"), {"src1": 9, "src2": 4}, 0).alias("place"), fn.pure_ascii(F.col("text")).alias("plain"))
 
 
 @query("""select doc_id, source, printf('%010d %05d n ', coalesce(sum(octet_length(encode(text)) + 20) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) + 15, doc_id % 7) as line from documents""")
 def xref_lines(t):
     """Entries of objects written one after another: offsets are running sums of their lengths."""
     d = t("documents").select("doc_id", "source", (F.octet_length("text") + 20).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return d.select("doc_id", "source", F.regexp_replace(fn.xref_line(F.coalesce(before, F.lit(0)) + 15, F.col("doc_id") % 7, F.lit("n")), "\n", "").alias("line"))
+    d = rows.running(d, ["source"], ["doc_id"], F.col("n"), "before")
+    return d.select("doc_id", "source", F.regexp_replace(fn.xref_line(F.col("before") + 15, F.col("doc_id") % 7, F.lit("n")), "\n", "").alias("line"))
 
 
 MACHINE = {("idle", "view"): "looking", ("looking", "click"): "busy", ("busy", "purchase"): "done", ("done", "view"): "looking", ("busy", "view"): "looking"}
@@ -320,8 +319,7 @@ MACHINE = {("idle", "view"): "looking", ("looking", "click"): "busy", ("busy", "
 @query("""select user_id, list_reduce(list_prepend('idle', list(event_type order by event_id)), lambda s, e: case when s = 'idle' and e = 'view' then 'looking'
 when s = 'looking' and e = 'click' then 'busy' when s = 'busy' and e = 'purchase' then 'done' when s in ('done', 'busy') and e = 'view' then 'looking' else s end) as state from events group by user_id""")
 def state_machine(t):
-    e = t("events").select("user_id", F.struct("event_id", "event_type").alias("e")).groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("l"))
-    return e.select("user_id", fn.run_machine(F.transform("l", lambda x: x["event_type"]), MACHINE, "idle").alias("state"))
+    return rows.final_state(t("events"), ["user_id"], "event_id", "event_type", MACHINE, "idle")
 
 
 @query("select event_id, unnest(json_keys(props)) as key, length(props) as size from events")
@@ -331,23 +329,18 @@ def dict_iterate(t):
     return e.select("event_id", "key", F.length("props").cast("long").alias("size"))
 
 
-@query("select o_orderkey, case when o_orderkey % 3 = 0 then -o_orderkey else o_orderkey end as value from orders where o_orderstatus is not null")
+@query("""select o_orderkey, (o_orderkey % 3 - 1.5::double) * (o_orderkey + 1) / 8 as value, regexp_replace(regexp_replace(printf('%.6f', (o_orderkey % 3 - 1.5::double) * (o_orderkey + 1) / 8), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') as shown
+from orders""")
 def number_round_trip(t):
-    """Numbers as text and back."""
-    n = F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
-    return t("orders").where("o_orderstatus is not null").select("o_orderkey", fn.parse_number(fn.print_number(n)).cast("long").alias("value"))
+    """Numbers with up to four decimals as text, and back."""
+    n = (F.col("o_orderkey") % 3 - 1.5) * (F.col("o_orderkey") + 1) / 8
+    shown = fn.print_number(n)
+    return t("orders").select("o_orderkey", fn.parse_number(shown).alias("value"), shown.alias("shown"))
 
 
-@query("""select doc_id, '/' || array_to_string(list_transform(regexp_extract_all(text[1:40], '(?s).'), lambda c: case when regexp_full_match(c, '[!-~]') and not contains('()<>[]{}/%#', c) then c
-else regexp_replace(hex(encode(c)), '(..)', '#\\1', 'g') end), '') as name, text[1:40] as back from documents""")
+@query("""select doc_id, '/' || array_to_string(list_transform(string_split(text, ''), lambda c: case when c between '!' and '~' and not contains('()<>[]{}/%#', c) then c
+else regexp_replace(hex(encode(c)), '(..)', '#\\1', 'g') end), '') as name, text as back from documents""")
 def name_round_trip(t):
-    """The first 40 characters as a name, and read back."""
-    d = t("documents").select("doc_id", fn.escape_name(F.substring("text", 1, 40)).alias("name"))
-    return d.select("doc_id", "name", fn.parse_name(F.col("name")).alias("back"))
-
-
-@query()
-def name_round_trip_whole(t):
-    """Whole texts as names, and read back. It has no SQL; tests compare it with brute force."""
-    d = t("documents").select("doc_id", fn.escape_name("text").alias("name"))
+    """Whole texts as names, and read back."""
+    d = t("documents").select("doc_id", fn.escape_name(F.col("text")).alias("name"))
     return d.select("doc_id", "name", fn.parse_name(F.col("name")).alias("back"))

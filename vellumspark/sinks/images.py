@@ -10,37 +10,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumspark.codecs import predictor
 from vellumspark.codecs.chain import decode_chain
 from vellumspark.documents import bitmap
+from vellumspark.functions.colour import COMPONENTS
 
 RESULT = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("format", T.StringType()), T.StructField("reason", T.StringType())])
-COMPONENTS = {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3, "Lab": 3, "DeviceCMYK": 4}
 
 
-def image_file(value: dict, raw: bytes, filters: list[str], params: list[dict]) -> tuple[bytes, str]:
-    """P4, P5 or P6 of an image's samples; JPEG data passes through after the filters before it."""
+def components(space) -> int:
+    """Of a resolved colour space as JSON (a name, or a list that begins with one)."""
+    name = _name(space)
+    if name == "ICCBased":
+        return int(space[1]["entries"]["N"])
+    if name not in COMPONENTS:
+        raise bitmap.BitmapError(f"colour space {name}")
+    return COMPONENTS[name]
+
+
+def _name(space) -> str | None:
+    first = space[0] if isinstance(space, list) and space else space
+    return first.get("$name") if isinstance(first, dict) else None
+
+
+def _through_palette(samples: bytes, space: list, width: int, height: int, bits: int) -> tuple[bytes, int]:
+    """Samples of an indexed image in its base space, 8 bits each, and the components of that space."""
+    _, base, hival, table = space
+    n, palette = components(base), bytes.fromhex(table["$hex"])
+    if not 0 <= hival <= 255 or len(palette) != n * (hival + 1):
+        raise bitmap.BitmapError("bad palette")
+    size = (width * bits + 7) // 8
+    rows = np.frombuffer(samples[: size * height].ljust(size * height, b"\0"), np.uint8).reshape(height, size)
+    at = np.minimum(predictor.unpack(rows, bits, width), hival)
+    return np.frombuffer(palette, np.uint8).reshape(-1, n)[at].tobytes(), n
+
+
+def image_file(value: dict, raw: bytes, filters: list[str], params: list[dict], space=None) -> tuple[bytes, str]:
+    """P4, P5 or P6 of an image's samples; JPEG data passes through after the filters before it. Indexed samples are looked up in their palette."""
     d = decode_chain(raw, filters, params)
     if d.left:
         if d.left[-1] in ("DCTDecode", "DCT") and len(d.left) == 1:
             return d.data, "jpg"
         raise bitmap.BitmapError(d.reason)
-    space = value.get("ColorSpace", {})
-    name = space.get("$name") if isinstance(space, dict) else (space[0] or {}).get("$name") if isinstance(space, list) and space else None
+    space = space if space is not None else value.get("ColorSpace")
+    width, height = int(value["Width"]), int(value["Height"])
     bits = 1 if value.get("ImageMask") else int(value["BitsPerComponent"])
-    n = 1 if value.get("ImageMask") or name == "Indexed" else COMPONENTS.get(name or "")
-    if n is None:
-        raise bitmap.BitmapError(f"colour space {name}")
+    n, data = 1 if value.get("ImageMask") else components(space), d.data
     inverted = value.get("Decode") in ([1, 0], [1, 0] * n)
-    out = bitmap.image(d.data, int(value["Width"]), int(value["Height"]), n, bits, inverted)
+    if not value.get("ImageMask") and _name(space) == "Indexed":
+        (data, n), bits, inverted = _through_palette(data, space, width, height, bits), 8, False
+    out = bitmap.image(data, width, height, n, bits, inverted)
     return out, {b"P4": "pbm", b"P5": "pgm", b"P6": "ppm"}[out[:2]]
 
 
 @F.pandas_udf(RESULT)
-def _image(value: pd.Series, raw: pd.Series, filters: pd.Series, params: pd.Series) -> pd.DataFrame:
+def _image(value: pd.Series, raw: pd.Series, filters: pd.Series, params: pd.Series, space: pd.Series) -> pd.DataFrame:
     rows = []
-    for v, r, f, p in zip(value, raw, filters, params, strict=True):
+    for v, r, f, p, c in zip(value, raw, filters, params, space, strict=True):
         try:
-            rows.append((*image_file(json.loads(v), bytes(r), list(f if f is not None else []), json.loads(p) if p else []), None))
+            rows.append((*image_file(json.loads(v), bytes(r), list(f if f is not None else []), json.loads(p) if p else [], json.loads(c) if c else None), None))
         except Exception as e:
             rows.append((None, None, f"{type(e).__name__}: {e}"))
     return pd.DataFrame(rows, columns=["data", "format", "reason"])
@@ -54,7 +82,7 @@ def _thumbnail(data: pd.Series, rotate: pd.Series) -> pd.Series:
 def images(objs: DataFrame) -> DataFrame:
     """Image streams of documents.frames.objects with their files: doc_id, obj_num, gen, value, data, format, reason."""
     found = objs.where((F.col("kind") == "stream") & (F.try_variant_get("value", "$.Subtype['$name']", "string") == "Image"))
-    made = found.withColumn("x", _image(F.to_json("value"), "raw", "filters", "params_json"))
+    made = found.withColumn("x", _image(F.to_json("value"), "raw", "filters", "params_json", "space_json"))
     return made.select("doc_id", "obj_num", "gen", "value", "x.data", "x.format", "x.reason")
 
 
