@@ -56,6 +56,7 @@ class File:
         self.data, self.strict = data, strict
         self.problems: list[str] = []
         self.held: dict[int, dict[int, Any]] = {}
+        self.leaves: list[Page] | None = None
         head = re.search(rb"%PDF-(\d+\.\d+)", data[:HEAD_BYTES])
         if not head:
             raise FileError("no header")
@@ -220,7 +221,12 @@ class File:
         return r
 
     def pages(self) -> list[Page]:
-        """Leaves of the page tree in order, with what they inherit. Parents and counts are checked."""
+        """Leaves of the page tree in order, with what they inherit. Parents and counts are checked. The tree is walked once."""
+        if self.leaves is None:
+            self.leaves = self._walked()
+        return self.leaves
+
+    def _walked(self) -> list[Page]:
         out: list[Page] = []
         seen: set[Ref] = set()
 

@@ -1,7 +1,7 @@
 """Data source "page_objects": spark.read.format("page_objects").load(path), one row per object.
 
-Files are listed and read through pyarrow's file systems (local, HDFS, object stores), one partition
-per file. Filters on obj_num are applied before an object is parsed. Where only Spark can open the
+Files are listed (by the driver, as data sources are) and read through pyarrow's file systems (local,
+HDFS, object stores); a partition takes files up to PARTITION_BYTES together. Filters on obj_num are applied before an object is parsed. Where only Spark can open the
 path, use documents.frames.files and .objects.
 """
 
@@ -21,9 +21,13 @@ from vellumspark.documents.syntax import Stream, kind_of, to_json
 SCHEMA = "doc_id string, obj_num int, gen int, kind string, value_json string, filters array<string>, raw binary"
 
 
+#: Bytes of files that a partition takes, each file counting as FILE_BYTES at least.
+PARTITION_BYTES, FILE_BYTES = 32 << 20, 256 << 10
+
+
 @dataclass
-class OneFile(InputPartition):
-    path: str
+class Files(InputPartition):
+    paths: list[str]
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -47,24 +51,33 @@ class Reader(DataSourceReader):
         store, name = open_path(self.path)
         found = store.get_file_info(name)
         if found.type == fs.FileType.File:
-            return [OneFile(self.path)]
+            return [Files([self.path])]
         base = self.path.rstrip("/")
         listed = store.get_file_info(fs.FileSelector(name, recursive=True))
-        return [OneFile(base + x.path[len(name.rstrip("/")) :]) for x in sorted(listed, key=lambda x: x.path) if x.is_file and x.extension == "pdf"]
+        out, size = [], PARTITION_BYTES
+        for x in sorted(listed, key=lambda x: x.path):
+            if x.is_file and x.extension == "pdf":
+                size += max(x.size, FILE_BYTES)
+                if size > PARTITION_BYTES:
+                    out.append(Files([]))
+                    size = max(x.size, FILE_BYTES)
+                out[-1].paths.append(base + x.path[len(name.rstrip("/")) :])
+        return out
 
     def _wanted(self, n: int) -> bool:
         tests = {"EqualTo": lambda v: n == v, "In": lambda v: n in v, "GreaterThan": lambda v: n > v, "GreaterThanOrEqual": lambda v: n >= v, "LessThan": lambda v: n < v, "LessThanOrEqual": lambda v: n <= v}
         return all(tests[kind](v) for _, kind, v in self.tests)
 
-    def read(self, partition: OneFile) -> Iterator[tuple]:
-        store, name = open_path(partition.path)
-        with store.open_input_file(name) as f:
-            file = File(f.read(), self.password)
-        for ref in file.refs():
-            if self._wanted(ref.num):
-                v = file.object(ref)
-                s = isinstance(v, Stream)
-                yield partition.path, ref.num, ref.gen, kind_of(v), json.dumps(to_json(v)), filters_of(v.entries, file.fetch)[0] if s else None, v.raw if s else None
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            store, name = open_path(path)
+            with store.open_input_file(name) as f:
+                file = File(f.read(), self.password)
+            for ref in file.refs():
+                if self._wanted(ref.num):
+                    v = file.object(ref)
+                    s = isinstance(v, Stream)
+                    yield path, ref.num, ref.gen, kind_of(v), json.dumps(to_json(v)), filters_of(v.entries, file.fetch)[0] if s else None, v.raw if s else None
 
 
 class PageObjects(DataSource):
