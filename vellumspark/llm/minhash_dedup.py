@@ -31,6 +31,8 @@ COLUMNS = 4096
 BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Most ids of documents to check that are broadcast (16 MB); beyond it, texts are joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Most rows of counts of mixed buckets that are broadcast (about 8 MB); beyond it, Spark splits hot keys of the joins.
+BROADCAST_ROWS = 1 << 17
 #: Bytes of text that are signed together.
 SIGN_BYTES = 2 << 20
 
@@ -342,12 +344,14 @@ def _meetings(open_: DataFrame) -> DataFrame:
     """
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(8 * size / BLOCK_BYTES)).cast("int")
     rows = open_.dropDuplicates(["bucket", "rep"])
-    per = rows.groupBy("bucket", "component").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("k"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    per = stored(rows.groupBy("bucket", "component").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("k"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "doc-per")
     large = F.when(F.col("k") > 1, F.struct("component", "k"))
     small = [F.sum(F.when(F.col("k") == 1, F.col(c))) for c in ("n", "size")]
     info = per.groupBy("bucket").agg(F.coalesce(blocks(*small), F.lit(0)).alias("pool"), F.sort_array(F.collect_list(large)).alias("large"))
-    info = info.withColumn("parts", F.col("pool") + F.aggregate("large", F.lit(0), lambda a, x: a + x["k"]))
+    if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # info has no more entries than per
+        per, info = F.broadcast(per), F.broadcast(info)
     rows = rows.join(per.select("bucket", "component", "k"), ["bucket", "component"]).join(info, "bucket")
+    rows = rows.withColumn("parts", F.col("pool") + F.aggregate("large", F.lit(0), lambda a, x: a + x["k"]))
     first = F.col("pool") + F.aggregate(F.filter("large", lambda x: x["component"] < F.col("component")), F.lit(0), lambda a, x: a + x["k"])
     first = F.when(F.col("k") > 1, first).otherwise(0)
     rows = rows.withColumn("first", first).withColumn("own", F.when(F.col("k") > 1, F.col("first") + F.pmod(F.xxhash64("rep"), F.col("k"))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("pool", F.lit(1)))).cast("int"))
