@@ -69,6 +69,41 @@ def test_links_keep_to_their_columns(spark):
     assert [(r.vec_id, r.n_links) for r in vector_dedup.links(df).orderBy("vec_id").collect()] == [(1, 1), (2, 1)]
 
 
+def test_sketches_keep_pairs_at_the_limit():
+    """Of pairs whose cosine is just the limit, none differs in more signs than allowed; nearly all random pairs do."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = r.standard_normal(x.shape)
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * other
+    apart = lambda a, b: np.bitwise_count(vector_dedup.sketches(a) ^ vector_dedup.sketches(b)).sum(axis=1)
+    limit = vector_dedup.most_differences(0.95)
+    assert (apart(x, y) <= limit).mean() > 0.9995 and (apart(x, x[::-1]) <= limit).mean() < 0.01
+
+
+def test_cosines_at_the_limit_are_decided_alike(spark):
+    """Pairs at the limit and one step to either side, alone and in a crowd, by exact arithmetic."""
+    from fractions import Fraction
+
+    rows = [(0, [1.0, 0.0]), *[(i, [float(a), float(b)]) for i, (a, b) in enumerate([(19, 6.244997998398398), (19, 6.2449979983983975), (19, 6.244997998398399), (0.95, 0.3122498999199199), (3, 1)], 1)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def linked(v, w):
+        f = lambda a, b: sum(Fraction(x) * Fraction(y) for x, y in zip(a, b, strict=True))
+        return f(v, w) > 0 and f(v, w) ** 2 >= Fraction("0.95") ** 2 * f(v, v) * f(w, w) * (1 - Fraction(1, 10**15))
+
+    crowd = [(100 + i, [float(-100 - i), 1.0]) for i in range(60)]
+    for extra in ([], crowd):
+        got = {r.vec_id: r.n_links for r in vector_dedup.links(df.union(spark.createDataFrame(extra, df.schema)), miss=1e-9).collect()}
+        if not extra:
+            alone = got
+    assert {i: got[i] for i, _ in rows} == alone
+    clear = [i for i, v in rows if all(abs(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) - 0.95) > 1e-12 for j, w in rows if i != j)]
+    assert all(alone[i] == sum(linked(v, w) for j, w in rows if j != i) for i, v in rows if i in clear)
+
+
 def test_large_components(spark):
     path = spark.range(1, 60).selectExpr("id as a", "id + 1 as b")
     star = spark.range(1000, 1400).selectExpr("id as a", "999L as b")
@@ -119,4 +154,7 @@ def test_registered_queries(spark, sf):
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.95
-    assert {r.vec_id: r.n_links for r in queries.op7_vector_dedup(spark, sf).collect()} == {i: int(n) - 1 for (i, _), n in zip(rows, near.sum(axis=1), strict=True)}
+    got = {r.vec_id: r for r in queries.op7_vector_dedup(spark, sf).collect()}
+    want = components([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+    assert {i: r.n_links for i, r in got.items()} == {i: int(n) - 1 for (i, _), n in zip(rows, near.sum(axis=1), strict=True)}
+    assert {i: r.component_id for i, r in got.items()} == want and all(r.kept == (want[i] == i) for i, r in got.items())
