@@ -122,11 +122,11 @@ def top(rows, k, scale=1024):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slot,block", [(16384, 512), (50, 2)])
-def test_top_k_equals_brute_force(spark, slot, block):
+@pytest.mark.parametrize("slot,block,first", [(16384, 512, 4096), (50, 2, 100), (300, 3, 20)])
+def test_top_k_equals_brute_force(spark, slot, block, first):
     rows = [(i // 7 * 4, v) for i, v in groups(2)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = vector_search.top_k(df, df.where("vec_id % 100 = 0"), slot_rows=slot, query_rows=block).collect()
+    got = vector_search.top_k(df, df.where("vec_id % 100 = 0"), slot_rows=slot, query_rows=block, first_rows=first).collect()
     assert sorted(map(tuple, got)) == top(rows, 10)
 
 
@@ -148,6 +148,31 @@ def test_bounds_hold():
         assert (vector_search.segment_stats(y, s) @ vector_search.segment_stats(x, s).T >= y @ x.T - 1e-9).all()
 
 
+def test_envelopes_and_bounds_spare_whole_meetings():
+    """Queries that can't reach a slot never meet it, few pairs of a near one are multiplied out, and the result is whole."""
+    r = np.random.default_rng(6)
+    axis = np.repeat(np.eye(8), 8, axis=1)  # a direction that segment means show
+    x = np.rint((axis[r.integers(0, 8, 4000)] + r.standard_normal((4000, 64)) * 0.05) * 1024).astype(np.int64)
+    x = x[np.argsort(x[:, :8].sum(axis=1), kind="stable")]
+    ids, queries = np.arange(4000), np.arange(4000, 4020)
+    y = np.rint((axis[0] + r.standard_normal((20, 64)) * 0.05) * 1024).astype(np.int64)
+    whole = y @ x.T
+    reach = np.sort(whole, axis=1)[:, -10]
+    slots = [vector_search.Slot(ids[s : s + 500], x[s : s + 500]) for s in range(0, 4000, 500)]
+    found = [s.search(queries, y, 10, reach) for s in slots]
+    got = sorted((int(q), int(-v), int(i)) for a in found for q, i, v in zip(*a, strict=True))
+    want = sorted((q, int(-whole[q, i]), i) for q in range(20) for i in range(4000) if whole[q, i] >= reach[q])
+    assert got == want
+    assert sum(s.met == 0 for s in slots) >= 6 and sum(s.met for s in slots) < 0.2 * whole.size
+    assert sum(s.met + s.pruned for s in slots) == whole.size
+
+
+def test_repeated_rows_and_hot_ids(spark):
+    df = spark.createDataFrame([(100, [1.0, 0.5])] * 3 + [(7, [1.0, 0.25])] * 400 + [(200, [0.5, 0.5])], SCHEMA)
+    got = vector_search.top_k(df, df.where("vec_id % 100 = 0"), k=3, slot_rows=64, first_rows=50).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(100, 1, 7), (100, 2, 7), (100, 3, 7), (200, 1, 100), (200, 2, 100), (200, 3, 100)]
+
+
 def test_registered_queries(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.op5_exact_top_k(spark, sf).collect())) == top(rows, 10)
