@@ -25,7 +25,9 @@ CROWD = 256
 #: Signs of a sketch.
 SKETCH = 128
 #: Vectors of a bucket that are compared at once; larger buckets are cut into blocks, and blocks meet in pairs.
-BLOCK = 1024
+BLOCK = 512
+#: Most buckets whose sizes are broadcast (4 MB); beyond it they are joined by shuffle.
+BROADCAST_BUCKETS = 1 << 17
 #: Rows of a meeting that are compared with all others of it at once.
 STRIP = 256
 #: Cosines this close to the limit are decided by one rule, whatever block a pair meets in.
@@ -140,10 +142,11 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
 
     unit = stored(classes.mapInArrow(coded, "rep long, len int, vector binary, all binary, codes array<long>, sketch binary, n long"), "vec-codes")
     held = unit.select("rep", "len", "sketch", F.posexplode("codes").alias("t", "code"))
-    sizes = held.groupBy("len", "t", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stored(held.groupBy("len", "t", "code").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "vec-buckets")
+    few = sizes.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
     parts = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "t"), F.col("parts")).cast("int")
-    placed = held.join(sizes, ["len", "t", "code"]).withColumn("parts", parts).withColumn("own", own)
+    placed = held.join(F.broadcast(sizes) if few else sizes, ["len", "t", "code"]).withColumn("parts", parts).withColumn("own", own)
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = ["len", "t", "code", "i", "j"]
     placed = placed.select("rep", "sketch", "t", "code", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "len")
@@ -256,7 +259,7 @@ def links(vectors: DataFrame, least: float = 0.95, miss: float = MISS, block: in
     done = classes.join(counts, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     done = done.select(F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     done = stored(done, "vec-done")
-    for x in (unit, found, classes):
+    for x in (unit, sizes, found, classes):
         drop_stored(x)
     key = F.when(fit, F.col("embedding"))
     out = rows.withColumn("k", key).join(done, F.col("k") == F.col("e"), "left")
