@@ -135,7 +135,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
     """Encodes the whole texts and writes token files under `folder`, ascending by doc_id across and within files.
 
     docs: doc_id (long), text; other columns are ignored. A null doc_id comes first, a null text is
-    empty, rows with one doc_id are ordered by a hash of their text. `end` is appended to each
+    empty, rows with one doc_id are ordered by a hash of their text, and an empty table gives no files. `end` is appended to each
     document. Returns the files that count, stored: path, part, seq, n_docs, n_ids. The texts are
     dealt out by range of (doc_id, hash), so no doc_id is too large for a task. A task that runs
     again writes files of other names, and only those in the result count. file_ids: ids after
@@ -143,7 +143,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
     """
     folder = whole_uri(folder)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(F.col("doc_id"), F.col("h")).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    # rows equal in doc_id and text may be dealt out anyhow, so a number of their own lets ranges part them
+    rows = rows.repartitionByRange(F.col("doc_id"), F.col("h"), F.rand(3)).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     tail = b"" if end is None else int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -180,12 +181,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
 def read(files: DataFrame) -> DataFrame:
     """The documents of token files in their order: doc_id, start (ids of all documents before), ids (little-endian unsigned 32-bit).
 
-    files: what write() returned. One row of the list per file, so the running sum over it is small
-    beside the documents. Files are dealt out evenly.
+    files: what write() returned; without files there are no documents. Starts are summed within each
+    part of the writing, then over the parts. Files are dealt out evenly, whole; a very long text is a
+    file of its own.
     """
     spark = files.sparkSession
-    at = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    listed = files.select("path", F.coalesce(at, F.lit(0)).alias("start"))
+    # sums within a part first; only the parts, one row each, are summed in one task
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = files.groupBy(F.col("part").alias("p")).agg(F.sum("n_ids").alias("t")).select("p", F.coalesce(before, F.lit(0)).alias("before"))
+    listed = files.join(parts, F.col("part") == F.col("p")).select("path", (F.col("before") + F.coalesce(inside, F.lit(0))).alias("start"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]):
