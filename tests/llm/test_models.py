@@ -35,6 +35,70 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert quality.scores(no_docs, none).count() == 0
 
 
+def brute_quality(docs, labels):
+    """The same scores in plain Python: rows by their hash, trained dictionaries, frame sizes, regression by gradient."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    def hashed(b):
+        h = xxhash.xxh64_intdigest(b, seed=42)
+        return h - 2**64 if h >= 2**63 else h
+
+    texts, out = dict(docs), {}
+    learn = {i: q for i, q in labels if q in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1}
+    order = sorted(learn, key=lambda i: (hashed(struct.pack("<q", i)), i))
+    picked = {q: [texts[i].encode()[: quality.MOST_BYTES] for i in order if learn[i] == q and texts.get(i)] for q in (0, 1)}
+    sizes, plain = [], len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(b""))
+    for q, n in ((1, quality.GOOD_ROWS), (0, quality.BAD_ROWS)):
+        picked[q] = picked[q][: n + quality.FIT_ROWS]
+        n = min(n, max(1, len(picked[q]) // 2))
+        samples = [t[k : k + 1024] for t in picked[q][:n] for k in range(0, len(t), 1024)]
+        try:
+            words = zstandard.train_dictionary(quality.DICTIONARY_BYTES, samples)
+        except zstandard.ZstdError:
+            words = zstandard.ZstdCompressionDict(b"".join(picked[q][:n])[-quality.DICTIONARY_BYTES :])
+        sizes.append(zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
+        picked[q] = picked[q][n : n + quality.FIT_ROWS] or picked[q]
+
+    def features(b):
+        parts = [b[k : k + quality.PIECE] for k in range(0, len(b), quality.PIECE)]
+        good, bad = (sum(len(c.compress(x)) - plain for x in parts) for c in sizes)
+        return [len(b) / (len(b) + quality.HALF), 10 * (bad - good) / (len(b) + quality.HALF)]
+
+    x = np.array([features(b.decode("utf-8", "ignore").encode()) for q in (1, 0) for b in picked[q]])
+    y = np.array([q for q in (1, 0) for _ in picked[q]])
+    share = sum(learn.values()) / len(learn)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    w, offset = np.zeros(2), math.log(share / (1 - share))
+    for _ in range(200_000):
+        step = x.T @ (weight * (y - 1 / (1 + np.exp(-(offset + x @ w))))) - 1e-3 * w
+        w += step * 0.02
+        if np.abs(step).max() < 1e-9:
+            break
+    for i, t in docs:
+        out[i] = 1 / (1 + math.exp(-max(-30, min(30, offset + float(np.dot(features((t or "").encode()), w))))))
+    return out
+
+
+def test_quality_equals_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    want, got = brute_quality(docs, labels), queries.op6_compression_quality(spark, sf).collect()
+    assert len(got) == len(want) and all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) for r in got)
+
+
+def test_quality_of_little_text_is_that_of_the_labels(spark):
+    rows = [(i, "all good words stand here in a row " * 5 if i % 4 else "B@D!! W0RD$$ ### " * 9) for i in range(200)] + [(1000, ""), (1001, None), (1002, "x" * 70_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(bool(i % 4))) for i in range(200)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.scores(docs, model).collect()}
+    share = 1 / (1 + math.exp(-model.prior))
+    assert got[1000] == got[1001] == pytest.approx(share) and 0.6 < share < 0.9 and got[1] > 0.9 and got[4] < 0.1
+
+
 def test_language_of_documents_and_pages(spark):
     rows = queries.op2_language_id(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().merge(rows, on="doc_id")

@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm.common import slices
 
-#: Labelled rows of each class to build a dictionary from, and as many again to calibrate on; longer texts aren't learned from.
+#: Labelled rows of each class to build a dictionary from, rows of each to calibrate on, and the bytes that are learned from a longer text.
 GOOD_ROWS, BAD_ROWS, FIT_ROWS, MOST_BYTES = 1800, 600, 600, 16384
 DICTIONARY_BYTES = 65536
 #: Texts are compressed in pieces, as a long one would soon be its own dictionary.
-PIECE, LEVEL = 256, 3
+PIECE, LEVEL = 1024, 3
+#: Most labels that are broadcast (16 MB); beyond it they are joined by shuffle.
+BROADCAST_LABELS = 1 << 20
+#: Bytes of text whose difference counts half.
+HALF = 128
 
 
 @dataclass
 class Model:
     good: bytes
     bad: bytes
-    weights: list[float]
+    prior: float  # log odds of good labels
+    weights: list[float]  # of how much the text counts, and of its difference as far as it counts
 
 
 def _pieces(b: bytes, size: int) -> list[bytes]:
@@ -50,22 +55,26 @@ class Features:
         self.good, self.bad = _compressor(good), _compressor(bad)
         self.frame = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress(b""))
 
-    def __call__(self, text: str) -> list[float]:
-        """One, the normalised difference of the compressed sizes, the size by the good dictionary, and how short the text is."""
+    def difference(self, text: str) -> tuple[float, int]:
+        """By how much a byte of the text the bad dictionary's result is larger than the good one's, and the bytes."""
         b = text.encode()
         parts = _pieces(b, PIECE)
         good = sum(len(self.good.compress(p)) - self.frame for p in parts)
         bad = sum(len(self.bad.compress(p)) - self.frame for p in parts)
-        n = len(b) + 1
-        return [1.0, 10 * (bad - good) / n, good / n, 64 / (n + 64)]
+        return (bad - good) / max(1, len(b)), len(b)
+
+    def __call__(self, text: str) -> list[float]:
+        """How much the text counts, from 0 for an empty one towards 1, and the difference as far as it counts."""
+        d, n = self.difference(text)
+        return [n / (n + HALF), 10 * d * n / (n + HALF)]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
-    """Regularised logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float) -> list[float]:
+    """Regularised logistic regression by Newton's method, its constant given."""
     w = np.zeros(x.shape[1])
     ridge = 1e-3
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(offset + x @ w, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
     return w.tolist()
@@ -76,44 +85,51 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_rows: int = BAD_ROWS, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from at most good_rows + bad_rows + 2 * fit_rows labelled documents of at most MOST_BYTES bytes.
+    """Learns from at most good_rows + bad_rows + 2 * fit_rows labelled documents, of each its first MOST_BYTES bytes.
 
     labels: doc_id, quality (1 good, 0 bad). Rows whose crc32(doc_id as text) mod 3 is 1 are never
-    read. The rows taken are those of least hash, so a run repeats another. With labels of one class
-    or none, every text scores the share of good labels, or 0.5.
+    read. The rows taken are those of least hash that have a text, so a run repeats another. The
+    compressed-size difference by a byte is calibrated to the log odds of good labels: a text counts
+    by n / (n + HALF) for its n bytes, so that one without bytes keeps the odds of the labels
+    themselves. With labels of one class or none, every text scores the share of good labels, or 0.5.
     """
     fit = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     texts: dict[int, list[bytes]] = {}
+    some = docs.select(F.col("doc_id").alias("id"), F.substring(F.col("text").cast("binary"), 1, MOST_BYTES).alias("b"), F.xxhash64("text").alias("h")).where(F.length("b") > 0)
+    marked = fit.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    marked = F.broadcast(marked) if fit.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else marked
+    keys = some.select("id", "h").join(marked, F.col("id") == F.col("doc_id")).select("id", "h", "q", F.xxhash64("id").alias("k"))
     for q, n in ((1, good_rows + fit_rows), (0, bad_rows + fit_rows)):
-        ids = [(r.doc_id,) for r in fit.where(F.col("quality") == q).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n).collect()]
-        chosen = docs.sparkSession.createDataFrame(ids, "id long").distinct()
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).where(F.octet_length("text").between(1, MOST_BYTES))
-        texts[q] = [r.text.encode() for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).select("text").collect()]
+        # only keys are sorted; the texts of the chosen ones are at most n * MOST_BYTES
+        ids = [tuple(r) for r in keys.where(F.col("q") == q).orderBy("k", "id", "h").select("id", "h").limit(n).collect()]
+        chosen = docs.sparkSession.createDataFrame(ids, "i long, g long").distinct()
+        rows = some.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("h") == F.col("g"))).select(F.xxhash64("id").alias("k"), "id", "h", "b").distinct()
+        texts[q] = [bytes(r.b) for r in sorted(rows.collect(), key=lambda r: (r.k, r.id, r.h))][:n]
     good, bad = texts[1], texts[0]
+    shares = {r.quality: r.n for r in fit.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not good or not bad:
         share = 0.5 if not good and not bad else float(bool(good))
-        return Model(b"", b"", [float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0, 0.0])
+        return Model(b"", b"", float(np.log((share + 1e-3) / (1 - share + 1e-3))), [0.0, 0.0])
+    prior = shares[1] / (shares[1] + shares[0])
     at = [min(n, max(1, len(t) // 2)) for t, n in ((good, good_rows), (bad, bad_rows))]
-    model = Model(_dictionary(good[: at[0]]), _dictionary(bad[: at[1]]), [])
+    model = Model(_dictionary(good[: at[0]]), _dictionary(bad[: at[1]]), float(np.log(prior / (1 - prior))), [])
     features = Features(model.good, model.bad)
     good_fit, bad_fit = (t[a : a + fit_rows] or t for t, a in ((good, at[0]), (bad, at[1])))
-    x = np.array([features(t.decode()) for t in [*good_fit, *bad_fit]])
+    x = np.array([features(t.decode("utf-8", "ignore")) for t in [*good_fit, *bad_fit]])
     y = np.array([1.0] * len(good_fit) + [0.0] * len(bad_fit))
-    shares = {r.quality: r.n for r in fit.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = shares.get(1, 1) / (shares.get(1, 1) + shares.get(0, 1))
-    model.weights = _logistic(x, y, np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())))
+    model.weights = _logistic(x, y, np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())), model.prior)
     return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds (or replaces) `name`: between 0 and 1, the higher the likelier good. The text alone decides; a null text is empty. Repeated rows score alike. No shuffle."""
+    """Adds (or replaces) `name`: between 0 and 1, the higher the likelier good. The whole text alone decides; a null text is empty; a text without bytes scores the share of good labels. Repeated rows score alike; an empty table gives an empty one. No shuffle."""
     kept = [c for c in docs.columns if c != name]
     rows = docs.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]):
         features, w = Features(model.good, model.bad), np.array(model.weights)
         for b in slices(batches, text):
-            z = np.array([features(t or "") for t in b.column(text).to_pylist()]) @ w
+            z = model.prior + np.array([features(t or "") for t in b.column(text).to_pylist()]).reshape(-1, 2) @ w
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p)], [*kept, name])
 
