@@ -130,12 +130,133 @@ def test_host_priors_are_smoothed_as_written(spark):
     assert {round(r.posterior, 6) for r in got} == {0.5} and {r.language for r in got} == {"a"}  # even evidence: ties go to the first
 
 
-def test_long_texts_are_summed_in_parts(spark, odd_docs, monkeypatch):
-    model = language.train(odd_docs)
-    whole = language.text_likelihoods(odd_docs, model).collect()
-    table, texts = model.table, [language._text_bytes(r.text) for r in odd_docs.collect()]
-    parts = [sum(language._sums(table, [x[at : at + 102]])[0] for at in range(0, max(1, len(x) - 2), 100)) for x in texts]
-    assert np.allclose(np.array(parts), language._sums(table, texts)) and len(whole) == 12
+def brute_languages(rows, model):
+    """The fusion in plain Python. rows: text, markup, host; returns language, posterior and kept of each."""
+    langs, n = model.languages, len(model.languages)
+
+    def triples(text):
+        b = b" " + b" ".join((text or "").encode().lower().split()) + b" "
+        return [((x * 0x9E3B + y * 0x85EB + z * 0xC2B3) * 0x27D4EB2F) % 2**32 >> 16 for x, y, z in zip(b, b[1:], b[2:], strict=False)]
+
+    def chances(logs):
+        e = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    said, own, hosts, domains, whole = [], [], {}, {}, [0.0] * n
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+    for text, _, host in rows:
+        t = triples(text)
+        letters = any(c.isalpha() for c in text or "")
+        logs = [sum(row[x] for x in t) for row in model.table] + [max(1, len(t)) * language.NO_TRIPLE]
+        logs = [x * language.MOST_TRIPLES / (language.MOST_TRIPLES + max(1, len(t))) for x in logs]
+        said.append(logs if letters else [0.0] * (n + 1))
+        own.append(chances(logs)[:n] if letters else [0.0] * n)
+        for sums, key in ((hosts, host), (domains, domain(host))):
+            if key:
+                sums[key] = [x + y for x, y in zip(sums.get(key, [0.0] * n), own[-1], strict=True)]
+        whole = [x + y for x, y in zip(whole, own[-1], strict=True)]
+    out = []
+
+    def smooth(sums, mine, parent):
+        rest = [max(0.0, x - y) for x, y in zip(sums, mine, strict=True)]
+        size = sum(x - y for x, y in zip(sums, mine, strict=True))
+        return [(x + language.SMOOTHING * p) / (size + language.SMOOTHING) for x, p in zip(rest, parent, strict=True)]
+
+    for (text, markup, host), logs, mine in zip(rows, said, own, strict=True):
+        prior = [max(0.0, x - y) + 1 for x, y in zip(whole, mine, strict=True)]
+        prior = [x / sum(prior) for x in prior]
+        if domain(host):
+            prior = smooth(domains[domain(host)], mine, prior)
+        if host:
+            prior = smooth(hosts[host], mine, prior)
+        fused = [math.log(p * (1 - language.NO_LANGUAGE)) + x for p, x in zip(prior, logs, strict=False)] + [math.log(language.NO_LANGUAGE) + logs[n]]
+        country = language.SUFFIX_LANGUAGE.get(host.split(".")[-1]) if domain(host) else None
+        known = 0
+        for value, trust in ((markup, language.MARKUP_TRUST), (country, language.SUFFIX_TRUST)):
+            if value in langs:
+                known += 1
+                fused = [x + (math.log(trust) if k == value else math.log((1 - trust) / (n - 1))) for x, k in zip(fused, langs, strict=False)] + [fused[n] - math.log(n)]
+        c = chances(fused)
+        best = max(c[:n])
+        p = best / sum(c[:n])
+        evidence = any(x.isalpha() for x in text or "") or known
+        out.append((langs[c.index(best)], p, bool(evidence and p >= 0.5 and c[n] < 0.5)))
+    return out
+
+
+def same_languages(got, want):
+    assert len(got) == len(want)
+    for (lang, p, kept), (lang2, p2, kept2) in zip(got, want, strict=True):
+        assert p == pytest.approx(p2, abs=1e-6) and (lang == lang2 or p < 0.5 + 1e-6) and (kept == kept2 or abs(p - 0.5) < 1e-6), (lang, p, kept, lang2, p2, kept2)
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    docs, pages = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "pages"))
+    html = F.col("html")
+    pages = [tuple(r) for r in pages.select("page_id", language.visible_text(html), language.declared_language(html), language.host_of(F.col("url"))).collect()]
+    rows = [(f"d{r.doc_id}", r.text, None, r.source) for r in docs.collect()] + [(f"p{r[0]}", *r[1:]) for r in pages]
+    want = brute_languages([r[1:] for r in rows], language.train(docs))
+    got = {f"d{r.doc_id}" if r.doc_id is not None else f"p{r.page_id}": (r.language, r.posterior, r.kept) for r in queries.op2_language_id(spark, sf).collect()}
+    same_languages([got[r[0]] for r in rows], want)
+
+
+def test_language_of_odd_rows_equals_brute_force(spark, odd_docs):
+    train = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.train(train)
+    hosts = ["a.firma.de", "b.firma.de", "x", None, "a.firma.de", "shop.example.fr", "", "x.co.uk", "a.firma.de", "b.firma.de", "solo.es", "x"]
+    marks = [None, "de", "en", "xx", None, "fr", "es", None, None, "de", None, ""]
+    rows = [(i, r.text, m, h) for i, (r, m, h) in enumerate(zip(odd_docs.collect(), marks, hosts, strict=True))]
+    df = spark.createDataFrame(rows, "__prior int, __h string, own string, domain_sums string").withColumn("best", F.lit(1))
+    got = {r["__prior"]: (r.language, r.posterior, r.language_kept) for r in language.identify(df, model, "__h", F.col("own"), F.col("domain_sums")).collect()}
+    same_languages([got[r[0]] for r in rows], brute_languages([(t, m, h or None) for _, t, m, h in rows], model))
+
+
+def test_a_rows_own_text_counts_once(spark):
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the house and the garden are here", "en"), ("das haus und der garten sind hier", "de")] * 4)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame([(1, "gar", "lone.example.org"), (2, "gar", None)], "id long, text string, h string")
+    got = {r.id: r.posterior for r in language.identify(rows, language.train(train), "text", None, F.col("h")).collect()}
+    assert got[1] == pytest.approx(got[2], abs=1e-9)
+
+
+def test_unlearned_languages_and_random_letters_are_refused(spark):
+    import random
+
+    r = random.Random(4)
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(train)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(30)] + ["Это совсем другой язык, которого здесь никто не учил " * 4] * 5
+    rows = spark.createDataFrame(list(enumerate(noise)), "id long, text string")
+    assert not any(x.language_kept for x in language.identify(rows, model).collect())
+    own = language.identify(train, model, "text", None, F.col("source"))
+    assert own.where("language_kept and language = lang").count() >= 0.99 * train.count()
+
+
+def test_seventy_languages_are_all_learned(spark):
+    import random
+
+    r = random.Random(5)
+    words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(r.choices(w, k=40)), k) for i, (k, w) in enumerate([(k, w) for k, w in words.items() for _ in range(3)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, rows=2)
+    assert model.languages == sorted(words)
+    assert language.identify(df, model).where("language <> lang").count() == 0
+
+
+def test_long_texts_are_summed_in_parts(spark, monkeypatch):
+    """Texts longer than one part give what they give whole, and are learned from in part."""
+    texts = ["the house and the garden " * 3000, "das haus und der garten " * 50_000, "x" * 300, "", None]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.train(df)
+    whole = {r.doc_id: r.likelihood for r in language.text_likelihoods(df, model).collect()}
+    monkeypatch.setattr(language, "AT_ONCE", 100)
+    from vellumspark.llm.language import _sums, _text_bytes
+
+    x = [_text_bytes(t) for t in texts]
+    parts = [sum(_sums(model.table, [b[at : at + 102]])[0] for at in range(0, max(1, len(b) - 2), 100)) for b in x]
+    assert np.allclose(np.array(parts), _sums(model.table, x))
+    cut = {r.doc_id: r.likelihood for r in language.text_likelihoods(df, model).collect()}
+    assert all(np.allclose(whole[i], cut[i]) for i in whole) and len(whole) == 5
 
 
 def test_language_of_nothing(spark, no_docs, odd_docs):

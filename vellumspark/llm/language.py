@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import slices, stored
 
-#: Labelled rows to learn each language from, their most bytes, and the most languages (those of most rows).
-ROWS, MOST_BYTES, MOST_LANGUAGES = 600, 16384, 64
+#: Labelled rows to learn each language from, and the bytes that are learned from a longer one.
+ROWS, MOST_BYTES = 600, 16384
+#: Most rows to learn from whose keys are broadcast (a few MB); beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1 << 17
 #: Bytes of a text that are looked up at once; a longer one is taken in parts that overlap by two bytes.
 AT_ONCE = 1 << 20
 #: Hash buckets of byte triples.
 BUCKETS = 1 << 16
 #: A text counts as at most so many independent triples.
 MOST_TRIPLES = 200.0
+#: What no language explains better than triples that are all alike: their chance, and the chance that a text is so.
+NO_TRIPLE, NO_LANGUAGE = float(-np.log(27.0**3)), 0.01
 #: Chance that a page's declared language, or the language of its country's suffix, is its own.
 MARKUP_TRUST, SUFFIX_TRUST = 0.9, 0.7
 #: Rows of the parent that a host's or domain's own counts are smoothed with.
@@ -53,24 +56,35 @@ def _text_bytes(text: str | None) -> bytes:
 
 
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
-    """Learns byte triples of each language from at most `rows` rows of docs (doc_id, text, lang) of at most MOST_BYTES bytes.
+    """Learns byte triples of every language of docs (doc_id, text, lang) from at most `rows` of its rows, of each its first MOST_BYTES bytes.
 
-    Rows of least hash are taken, so a run repeats another. Nulls and empty texts are left out; without
-    any labelled row, the one language is "und".
+    Rows of least hash are taken, so a run repeats another; of a language with many rows, each task
+    hands on the least ones alone. Triples are counted where the texts lie. Nulls and empty texts are
+    left out; without any labelled row, the one language is "und", of which every text is.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, MOST_BYTES))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
+    known = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, MOST_BYTES).alias("b")).where(F.col("lang").isNotNull() & (F.length("b") > 0))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = known.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).select(F.col("lang").alias("l"), F.col("h").alias("g")).distinct()
+    least = stored(least, "language-rows")
+    few = least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    chosen = known.join(F.broadcast(least) if few else least, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g"))).select("lang", "h", "b").distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("b").to_pylist(), strict=True):
+                own = np.bincount(_triples(np.frombuffer(_text_bytes(text.decode("utf-8", "ignore")), np.uint8)), minlength=BUCKETS)
+                sums[lang] = sums[lang] + own if lang in sums else own
+        for lang, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([own.astype("<i8").tobytes()], pa.binary())], ["lang", "counts"])
+
+    tables: dict[str, np.ndarray] = {}
+    for r in stored(chosen.select("lang", "b").mapInArrow(count, "lang string, counts binary"), "language-counts").toLocalIterator():
+        tables[r.lang] = tables.get(r.lang, 0.5) + np.frombuffer(r.counts, "<i8")
+    languages = sorted(tables)
     if not languages:
         return Model(["und"], np.zeros((1, BUCKETS)))
-    keys = known.select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    least = reduce(DataFrame.union, [keys.where(F.col("lang") == x).orderBy("h").limit(rows) for x in languages]).distinct().collect()
-    # texts aren't sorted, only the hashes are; the chosen ones are at most MOST_LANGUAGES * rows
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(least, "__l string, __h long"))
-    table = np.full((len(languages), BUCKETS), 0.5)
-    texts = known.join(chosen, (F.col("lang") == F.col("__l")) & (F.xxhash64("doc_id", "text") == F.col("__h")), "left_semi")
-    for r in texts.select("lang", "text").distinct().toLocalIterator():
-        table[languages.index(r.lang)] += np.bincount(_triples(np.frombuffer(_text_bytes(r.text), np.uint8)), minlength=BUCKETS)
+    table = np.stack([tables[x] for x in languages])
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)))
 
 
@@ -81,11 +95,11 @@ def _sums(table: np.ndarray, texts: list[bytes]) -> np.ndarray:
     starts = np.cumsum(lens) - lens
     own = np.repeat(np.arange(len(lens)), lens)
     inside = np.arange(len(own)) < (starts + lens - 2)[own]
-    return np.stack([np.bincount(own[inside], row[places[: len(own)]][inside], len(lens)) for row in table], axis=1)
+    return np.stack([np.bincount(own[inside], row[places[: len(own)]][inside], len(lens)) for row in table], axis=1).astype(np.float64)
 
 
 def text_likelihoods(rows: DataFrame, model: Model, text: str = "text", name: str = "likelihood") -> DataFrame:
-    """Adds (or replaces) `name`: an array of the text's log likelihood under each language, less the greatest, or zeros for a text without a letter. Whole texts, no shuffle."""
+    """Adds (or replaces) `name`: an array of the text's log likelihood under each language, and last under none, less the greatest, or zeros for a text without a letter. Whole texts, no shuffle."""
     kept = [c for c in rows.columns if c != name]
     rows = rows.select(*kept)
 
@@ -98,6 +112,7 @@ def text_likelihoods(rows: DataFrame, model: Model, text: str = "text", name: st
                 x = made[i]
                 sums[i] = sum(_sums(model.table, [x[at : at + AT_ONCE + 2]])[0] for at in range(0, len(x) - 2, AT_ONCE))
             n = np.maximum(1, lens - 2)
+            sums = np.column_stack([sums, n * NO_TRIPLE])
             sums *= (MOST_TRIPLES / (MOST_TRIPLES + n))[:, None]
             sums -= sums.max(axis=1, keepdims=True)
             sums[lens <= 2] = 0
@@ -122,7 +137,13 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The last two parts of a host's name; null for a name of one part."""
+    return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -2))
+
+
+def suffix_of(host: Column) -> Column:
+    """The last part of a host's name; null for a name of one part, which isn't an address."""
+    return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
 
 
 def _normal(x: Column) -> Column:
@@ -132,53 +153,82 @@ def _normal(x: Column) -> Column:
 
 
 def _match(value: Column, languages: list[str], trust: float) -> Column:
-    """Log chances of a declared value under each language; zeros if it is none of them."""
-    other = (1 - trust) / max(1, len(languages) - 1)
-    each = F.array(*[F.when(value == x, F.lit(float(np.log(trust)))).otherwise(float(np.log(other) if other else -30.0)) for x in languages])
-    return F.when(value.isin(*languages), each).otherwise(F.array(*[F.lit(0.0)] * len(languages)))
+    """Log chances of a declared value under each language, and last under none; zeros if it is none of them."""
+    n = len(languages)
+    other = float(np.log((1 - trust) / (n - 1))) if n > 1 else -30.0
+    every = F.array(*[F.lit(x) for x in languages])
+    each = F.concat(F.transform(every, lambda x: F.when(value == x, float(np.log(trust))).otherwise(other)), F.array(F.lit(float(-np.log(n)))))
+    return F.when(value.isin(*languages), each).otherwise(F.array_repeat(F.lit(0.0), n + 1))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+
+def _smoothed(own: Column, parent: Column) -> Column:
+    """Sums smoothed by SMOOTHING rows that are dealt out like the parent's chances; sums that rounding made negative are none."""
+    whole = _total(own) + SMOOTHING
+    return F.zip_with(own, parent, lambda x, p: (F.greatest(x, F.lit(0.0)) + SMOOTHING * p) / whole)
 
 
-def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column | None = None, host: Column | None = None, name: str = "language") -> DataFrame:
+def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column | None = None, host: Column | None = None, name: str = "language", keep: list[str] | None = None) -> DataFrame:
     """Adds (or replaces) `language`, `posterior` and `language_kept`.
 
     Log likelihoods of text, declared language and country suffix of the host are summed with the log
-    of the host's prior. Priors come from grouped sums of what the texts alone say: a host's sums are
-    smoothed by its domain's, those by the table's. Rows without a host take the table's prior. The
-    result is kept if its chance is 0.5 or more and the row has any evidence of its own: a letter in
-    the text, a known declared language or a known suffix. Null and empty texts are rows without text
-    evidence. Ties go to the language first in the alphabet. Priors of up to BROADCAST_HOSTS hosts are
-    broadcast; more are joined by shuffle, where Spark splits hosts of many rows.
+    of the host's prior. Priors come from grouped sums of what the texts alone say of all other rows: a
+    row's own share is taken out of its host's, its domain's and the table's sums; a host's sums are
+    smoothed by its domain's, those by the table's. Hosts of one part (a source's name) have neither
+    domain nor suffix; rows without a host take the table's prior. Texts that no language explains
+    better than even triples count as of no language, which has a fixed prior of NO_LANGUAGE.
+
+    posterior is the chance among the languages. The result is kept if it is 0.5 or more, if no language
+    at all is less likely than 0.5, and if the row has any evidence of its own: a letter in the text, a
+    known declared language or a known suffix. Null and empty texts are rows without
+    text evidence; a very long text is summed in parts; repeated rows are judged alike; ties go to the
+    language first in the alphabet; an empty table gives an empty one. Columns of rows (or those of
+    `keep`) may have any names. Each text is scored once: kept columns and likelihoods are written to
+    the shared folder. Priors of up to BROADCAST_HOSTS hosts are broadcast; more are joined by shuffle,
+    where Spark splits hosts of many rows.
     """
     n, langs = len(model.languages), model.languages
     out = (name, "posterior", f"{name}_kept")
-    kept = [c for c in rows.columns if c not in out]
+    kept = [c for c in (rows.columns if keep is None else keep) if c not in out]
     none = F.lit(None).cast("string")
-    base = rows.select(*kept, (host if host is not None else none).alias("__host"), (markup if markup is not None else none).alias("__markup"))
-    base = base.withColumn("__host", F.when(F.col("__host") != "", F.col("__host"))).withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    scored = text_likelihoods(base, model, text, "__text")
-    p = _normal(F.col("__text"))
-    hosts = scored.where("__letters").select("__host", p.alias("p")).groupBy("__host").agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
-    hosts = hosts.select(F.col("__host").alias("h"), domain_of(F.col("__host")).alias("d"), *[f"s{i}" for i in range(n)])
-    hosts = stored(hosts, "language-hosts")
-    total = hosts.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).collect()[0]
-    whole = np.array([(x or 0.0) + 1.0 for x in total])
-    whole /= whole.sum()
-
-    def smooth(parent: list[Column]) -> list[Column]:
-        size = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(n)])
-        return [((F.col(f"s{i}") + SMOOTHING * parent[i]) / (size + SMOOTHING)) for i in range(n)]
-
-    domains = hosts.where("d is not null").groupBy("d").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
-    domains = domains.select(F.col("d").alias("d2"), F.array(*smooth([F.lit(float(x)) for x in whole])).alias("dp"))
-    priors = hosts.where("h is not null").join(domains, F.col("d") == F.col("d2")).select(F.col("h").alias("__h"), F.array(*smooth([F.col("dp")[i] for i in range(n)])).alias("__prior"))
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    h = host if host is not None else none
+    base = rows.select(*held, F.col(f"`{text}`").alias("text"), F.when(h != "", h).alias("host"), (markup if markup is not None else none).alias("markup"))
+    base = base.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    scored = stored(text_likelihoods(base, model, "text", "said").drop("text"), "language-texts")
+    # what a row's text says, without the share of no language; nothing without a letter
+    own = F.when(F.col("letters"), F.slice(_normal(F.col("said")), 1, n)).otherwise(F.array_repeat(F.lit(0.0), n))
+    scored = scored.withColumn("own", own)
+    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
+    hosts = stored(scored.groupBy("host").agg(add("own").alias("sums")).withColumn("domain", domain_of(F.col("host"))), "language-hosts")
+    whole = hosts.agg(add("sums").alias("sums")).collect()[0][0]
+    whole = F.array(*[F.lit(float(x or 0.0)) for x in (whole or [0.0] * n)])
+    domains = hosts.where("domain is not null").groupBy(F.col("domain").alias("d")).agg(add("sums").alias("domain_sums"))
+    priors = hosts.where("host is not null").join(domains, F.col("domain") == F.col("d"), "left").select(F.col("host").alias("key"), F.col("sums").alias("host_sums"), "domain_sums")
     few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = scored.join(F.broadcast(priors) if few else priors, F.col("__host") == F.col("__h"), "left")
-    prior = F.coalesce("__prior", F.array(*[F.lit(float(x)) for x in whole]))
-    suffix = F.substring_index("__host", ".", -1)
-    country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[F.coalesce(suffix, F.lit(""))]
-    parts = [F.when(F.col("__letters"), F.col("__text")).otherwise(F.array(*[F.lit(0.0)] * n)), _match(F.coalesce("__markup", F.lit("")), langs, MARKUP_TRUST), _match(F.coalesce(country, F.lit("")), langs, SUFFIX_TRUST)]
-    fused = F.array(*[F.log(prior[i]) + parts[0][i] + parts[1][i] + parts[2][i] for i in range(n)])
-    evidence = F.col("__letters") | F.coalesce(F.col("__markup").isin(*langs), F.lit(False)) | F.coalesce(country.isin(*langs), F.lit(False))
-    best = joined.withColumn("__p", _normal(fused)).withColumn("posterior", F.array_max("__p"))
-    pick = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("__p", F.col("posterior")).cast("int"))
-    return best.select(*kept, pick.alias(name), "posterior", (evidence & (F.col("posterior") >= 0.5)).alias(f"{name}_kept"))
+    joined = scored.join(F.broadcast(priors) if few else priors, F.col("host") == F.col("key"), "left")
+
+    less = lambda sums: F.zip_with(sums, F.col("own"), lambda x, y: x - y)
+    joined = joined.withColumn("at_table", F.transform(less(whole), lambda x: F.greatest(x, F.lit(0.0)) + 1.0))
+    joined = joined.withColumn("at_table", F.transform("at_table", lambda x: x / _total(F.col("at_table"))))
+    joined = joined.withColumn("at_domain", F.when(F.col("domain_sums").isNull(), F.col("at_table")).otherwise(_smoothed(less(F.col("domain_sums")), F.col("at_table"))))
+    prior = F.when(F.col("host_sums").isNull(), F.col("at_table")).otherwise(_smoothed(less(F.col("host_sums")), F.col("at_domain")))
+    prior = F.concat(F.transform(prior, lambda x: F.log(x * (1 - NO_LANGUAGE))), F.array(F.lit(float(np.log(NO_LANGUAGE)))))
+    country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[F.coalesce(suffix_of(F.col("host")), F.lit(""))]
+    said = F.when(F.col("letters"), F.col("said")).otherwise(F.array_repeat(F.lit(0.0), n + 1))
+    fused = _plus(_plus(prior, said), _plus(_match(F.coalesce("markup", F.lit("")), langs, MARKUP_TRUST), _match(F.coalesce(country, F.lit("")), langs, SUFFIX_TRUST)))
+    evidence = F.col("letters") | F.coalesce(F.col("markup").isin(*langs), F.lit(False)) | F.coalesce(country.isin(*langs), F.lit(False))
+    best = joined.withColumn("fused", fused).withColumn("chances", _normal(F.col("fused")))
+    best = best.withColumn("some", F.slice("chances", 1, n)).withColumn("best", F.array_max("some"))
+    pick = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("some", F.col("best")).cast("int"))
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
+    posterior = F.col("best") / _total(F.col("some"))
+    sure = (posterior >= 0.5) & (F.col("chances")[n] < 0.5)
+    return best.select(*back, pick.alias(name), posterior.alias("posterior"), (evidence & sure).alias(f"{name}_kept"))

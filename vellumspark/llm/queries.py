@@ -26,7 +26,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("markup"), F.col("source").alias("host"))
     html = F.col("html")
     rows = rows.union(pages.select(none.cast("long"), "page_id", language.visible_text(html), language.declared_language(html), language.host_of(F.col("url"))))
-    found = language.identify(rows, language.train(docs), "text", F.col("markup"), F.col("host"))
+    found = language.identify(rows, language.train(docs), "text", F.col("markup"), F.col("host"), keep=["doc_id", "page_id"])
     return found.select("doc_id", "page_id", "language", F.round("posterior", 6).alias("posterior"), F.col("language_kept").alias("kept"))
 
 
