@@ -1,17 +1,20 @@
 """A corpus pipeline: quality, language, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents. Null and empty
+texts pass a stage by its operator's rule: their quality is that of the labels, they have no
+language, they are copies of one another, and they pack to an end id. An empty table gives empty
+stages; further columns are left out.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumspark.llm import language, minhash_dedup, packing, quality
-from vellumspark.llm.common import fresh_path
+from vellumspark.llm.common import fresh_path, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,24 +26,40 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language isn't clear go: no letter at all, or no language with a chance of a half."""
+    """Documents whose language isn't clear go: no letter at all, no language with a chance of a half, or text that no learned language explains."""
     model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = language.identify(docs.select(*COLUMNS), model, "text", None, F.col("source"), "__language")
     return found.where("__language_kept").select(*COLUMNS)
 
 
+#: Keys of rows that their doc_id doesn't name come after all others.
+LAST_KEYS = 1 << 62
+
+
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of smallest doc_id; rows that repeat a doc_id count as one."""
-    found = minhash_dedup.near_duplicates(docs)
-    ids = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    lone = docs.select(*COLUMNS).where("doc_id is null")
-    if not lone.limit(1).count():
-        return stay
-    # rows without an id stay once per text if no row with an id has their words
-    numbered = lone.dropDuplicates(["text"])
-    kept = docs.select(*COLUMNS).where("doc_id is not null").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h")).distinct()
-    return stay.unionByName(numbered.join(kept, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"), "left_anti"))
+    """One document of each group stays, the one of smallest doc_id.
+
+    Of rows that share a doc_id but not their text, the one of least text hash goes by it; the others,
+    and rows without a doc_id, are documents of their own that stand behind all that have one. Of equal
+    rows one stays, the first in the order of their columns.
+    """
+    rows = docs.select(*COLUMNS)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("first")).where("n > 1")
+    shared = stored(shared.select(F.col("doc_id").alias("id"), "first"), "shared-ids")
+    own = F.lit(LAST_KEYS) + F.shiftrightunsigned(F.xxhash64("doc_id", text), 2)
+    if not shared.limit(1).count() and not rows.where("doc_id is null").limit(1).count():
+        keyed = rows.withColumn("key", F.col("doc_id")).withColumn("odd", F.lit(False))
+    else:
+        some = rows.join(shared, F.col("doc_id") == F.col("id"), "left")
+        named = F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("first") == text))
+        keyed = some.withColumn("key", F.when(named, F.col("doc_id")).otherwise(own)).withColumn("odd", F.col("first").isNotNull() | F.col("doc_id").isNull())
+    keyed = keyed.select(*COLUMNS, "key", "odd")
+    found = minhash_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
+    stay = keyed.join(found.where("kept").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*COLUMNS))
+    once = stay.where("odd").withColumn("place", place).where("place = 1")
+    return stay.where(~F.col("odd")).select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
