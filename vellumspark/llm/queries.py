@@ -65,14 +65,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_language_id, op3_probminhash_dedup, op4_hash_tree_shards, op5_exact_top_k, op6_compression_quality, op7_vector_dedup, op8_token_files, op9_packing, op10_lm_score, pipeline)
+    for f in (op1_byte_bpe, op2_language_id, op3_probminhash_dedup, op4_hash_tree_shards, op5_exact_top_k, op6_compression_quality, op7_vector_dedup, op8_token_files, op9_packing, op10_lm_score)
 }
 ORACLE_SQL: dict[str, str] = {}
