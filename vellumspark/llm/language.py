@@ -14,6 +14,8 @@ from vellumspark.llm.common import slices, stored
 
 #: Labelled rows to learn each language from, and the bytes that are learned from a longer one.
 ROWS, MOST_BYTES = 600, 16384
+#: Rows that are sorted for each that is learned from.
+SPARE = 4
 #: Most rows to learn from whose keys are broadcast (a few MB); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1 << 17
 #: Bytes of a text that are looked up at once; a longer one is taken in parts that overlap by two bytes.
@@ -58,13 +60,15 @@ def _text_bytes(text: str | None) -> bytes:
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
     """Learns byte triples of every language of docs (doc_id, text, lang) from at most `rows` of its rows, of each its first MOST_BYTES bytes.
 
-    Rows of least hash are taken, so a run repeats another; of a language with many rows, each task
-    hands on the least ones alone. Triples are counted where the texts lie. Nulls and empty texts are
+    Rows of least hash are taken, so a run repeats another; of a language with many rows only hashes
+    under a limit that leaves SPARE times as many are sorted. Triples are counted where the texts lie. Nulls and empty texts are
     left out; without any labelled row, the one language is "und", of which every text is.
     """
     known = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, MOST_BYTES).alias("b")).where(F.col("lang").isNotNull() & (F.length("b") > 0))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("k"), F.when(F.col("n") <= SPARE * rows, 1.0).otherwise(SPARE * rows / F.col("n")).alias("share"))
+    near = known.select("lang", "h").join(sizes, F.col("lang") == F.col("k")).where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = known.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).select(F.col("lang").alias("l"), F.col("h").alias("g")).distinct()
+    least = near.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).select(F.col("lang").alias("l"), F.col("h").alias("g")).distinct()
     least = stored(least, "language-rows")
     few = least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     chosen = known.join(F.broadcast(least) if few else least, (F.col("lang") == F.col("l")) & (F.col("h") == F.col("g"))).select("lang", "h", "b").distinct()

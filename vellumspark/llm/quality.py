@@ -11,15 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import slices
+from vellumspark.llm.common import slices, stored
 
 #: Labelled rows of each class to build a dictionary from, rows of each to calibrate on, and the bytes that are learned from a longer text.
 GOOD_ROWS, BAD_ROWS, FIT_ROWS, MOST_BYTES = 1800, 600, 600, 16384
 DICTIONARY_BYTES = 65536
 #: Texts are compressed in pieces, as a long one would soon be its own dictionary.
 PIECE, LEVEL = 1024, 3
-#: Most labels that are broadcast (16 MB); beyond it they are joined by shuffle.
-BROADCAST_LABELS = 1 << 20
+#: Labels that are looked up for each that is learned from, as some have no text; the most that are broadcast (2 MB).
+SPARE, BROADCAST_LABELS = 4, 1 << 17
 #: Bytes of text whose difference counts half.
 HALF = 128
 
@@ -80,6 +80,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float) -
     return w.tolist()
 
 
+def _limit(wanted: int, n: int) -> int:
+    """The hash up to which SPARE times as many of n rows lie as are wanted, or the greatest one."""
+    return 2**63 - 1 if SPARE * wanted >= n else int((SPARE * wanted / n - 0.5) * 2**64)
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -93,20 +98,19 @@ def train(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_ro
     by n / (n + HALF) for its n bytes, so that one without bytes keeps the odds of the labels
     themselves. With labels of one class or none, every text scores the share of good labels, or 0.5.
     """
-    fit = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    texts: dict[int, list[bytes]] = {}
+    fit = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
+    shares = {r.quality: r.n for r in fit.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {1: good_rows + fit_rows, 0: bad_rows + fit_rows}
+    # labels of which only the least hashes can count: some times as many as are taken, however many there are
+    least = F.when(F.col("quality") == 1, F.lit(_limit(wanted[1], shares.get(1, 0)))).otherwise(F.lit(_limit(wanted[0], shares.get(0, 0))))
+    marked = fit.where(F.xxhash64("doc_id") <= least).groupBy("doc_id").agg(F.max("quality").alias("q"))
+    marked = stored(marked.withColumn("k", F.xxhash64("doc_id")), "quality-labels")
+    few = marked.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     some = docs.select(F.col("doc_id").alias("id"), F.substring(F.col("text").cast("binary"), 1, MOST_BYTES).alias("b"), F.xxhash64("text").alias("h")).where(F.length("b") > 0)
-    marked = fit.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    marked = F.broadcast(marked) if fit.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS else marked
-    keys = some.select("id", "h").join(marked, F.col("id") == F.col("doc_id")).select("id", "h", "q", F.xxhash64("id").alias("k"))
-    for q, n in ((1, good_rows + fit_rows), (0, bad_rows + fit_rows)):
-        # only keys are sorted; the texts of the chosen ones are at most n * MOST_BYTES
-        ids = [tuple(r) for r in keys.where(F.col("q") == q).orderBy("k", "id", "h").select("id", "h").limit(n).collect()]
-        chosen = docs.sparkSession.createDataFrame(ids, "i long, g long").distinct()
-        rows = some.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("h") == F.col("g"))).select(F.xxhash64("id").alias("k"), "id", "h", "b").distinct()
-        texts[q] = [bytes(r.b) for r in sorted(rows.collect(), key=lambda r: (r.k, r.id, r.h))][:n]
+    found = some.join(F.broadcast(marked) if few else marked, F.col("id") == F.col("doc_id"))
+    found = stored(found.select("q", "k", "id", "h", "b").distinct(), "quality-texts")
+    texts = {q: [bytes(r.b) for r in found.where(F.col("q") == q).orderBy("k", "id", "h").limit(n).select("b").collect()] for q, n in wanted.items()}
     good, bad = texts[1], texts[0]
-    shares = {r.quality: r.n for r in fit.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not good or not bad:
         share = 0.5 if not good and not bad else float(bool(good))
         return Model(b"", b"", float(np.log((share + 1e-3) / (1 - share + 1e-3))), [0.0, 0.0])
