@@ -17,103 +17,6 @@ BOUNDARY = re.compile(r"(?<=\S)(?= )")
 KEEP_LEN = 96
 
 
-class Generations:
-    """A bounded map of two generations: what is used again moves to the younger one."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def turn(self) -> None:
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-
-    def missing(self, keys: set) -> list:
-        young, old = self.young, self.old
-        out = []
-        for k in keys - young.keys():
-            v = old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                young[k] = v
-        return out
-
-
-def _tail(part: str) -> list[str]:
-    """Comma and full stop after an ASCII letter or digit are a match of their own."""
-    if len(part) > 1 and part[-1] in ",." and part[-2].isascii() and part[-2].isalnum():
-        return [part[:-1], part[-1]]
-    return [part]
-
-
-def atoms(unit: str) -> list[str]:
-    """Pieces of a unit that are encoded separately."""
-    if "\n" in unit:
-        parts = unit.split("\n")
-        if not all(parts) or len(unit.split()) != len(parts):
-            return [unit]
-        out = _tail(parts[0])
-        for p in parts[1:]:
-            out.append("\n")
-            out += _tail(p)
-        return out
-    return _tail(unit)
-
-
-class ByteBpeUnits:
-    """Texts to ids (little-endian unsigned 32-bit) for byte-level BPE that keeps white space.
-
-    encode_many: maps distinct strings to the bytes of their ids.
-    """
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 120_000):
-        self.encode_many = encode_many
-        self.spaced, self.raw = Generations(limit), Generations(limit // 4)
-
-    def _fill(self, spaced: set[str], raw: set[str]) -> None:
-        self.spaced.turn()
-        self.raw.turn()
-        after, start = self.spaced.young, self.raw.young
-        missing = self.spaced.missing(spaced)
-        words = [k for k in missing if k.isalpha()]
-        for k, v in zip(words, self.encode_many([" " + k for k in words]), strict=True):
-            after[k] = v
-        plans = [(after, k, atoms(" " + k)) for k in missing if not k.isalpha()]
-        plans += [(start, k, atoms(k)) for k in self.raw.missing(raw)]
-        need = {a for _, _, parts in plans for a in parts}
-        known = {a: v for a in need if (v := after.get(a[1:]) if a[:1] == " " else start.get(a)) is not None}
-        new = list(need - known.keys())
-        known.update(zip(new, self.encode_many(new), strict=True))
-        for young, k, parts in plans:
-            young[k] = known[parts[0]] if len(parts) == 1 else b"".join([known[a] for a in parts])
-        for a in new:
-            if a[:1] == " ":
-                after[a[1:]] = known[a]
-            else:
-                start[a] = known[a]
-        self.long = [(after, k) for k in words if len(k) > KEEP_LEN] + [(young, k) for young, k, _ in plans if len(k) > KEEP_LEN]
-        self.long += [(after, a[1:]) if a[:1] == " " else (start, a) for a in new if len(a) > KEEP_LEN]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        spaced, raw, cut = set(), set(), []
-        for t in texts:
-            if RISKY.search(t):
-                units = BOUNDARY.split(t)
-                raw.update(units)
-                cut.append((None, units))
-            else:
-                first, *rest = t.split(" ")
-                raw.add(first)
-                spaced.update(rest)
-                cut.append((first, rest))
-        self._fill(spaced, raw)
-        one, many = self.raw.young, self.spaced.young.__getitem__
-        out = [b"".join(map(one.__getitem__, rest)) if first is None else one[first] + b"".join(map(many, rest)) for first, rest in cut]
-        for young, k in self.long:
-            young.pop(k, None)
-        return out
-
-
 class Kept(dict):
     """A bounded map that makes what it lacks: what is used again moves to the younger of two generations."""
 
@@ -136,9 +39,9 @@ class Kept(dict):
 
 
 class LibraryByteUnits:
-    """Byte-level BPE like ByteBpeUnits, a unit at a time: `encode` gives the bytes of a string's ids, `split` the matches in it, if any."""
+    """Texts to ids (little-endian unsigned 32-bit) for byte-level BPE that keeps white space, a unit at a time: `encode` gives the bytes of a string's ids, `split` the matches in it, if any."""
 
-    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str] | None], limit: int = 500_000):
+    def __init__(self, encode: Callable[..., bytes], split: Callable[[str], list[str] | None], limit: int = 500_000):
         self.one, self.split = encode, split
         self.raw = Kept(self._raw, limit // 5)
         self.spaced = Kept(lambda k: self._raw(" " + k), limit)
@@ -146,7 +49,7 @@ class LibraryByteUnits:
     def _raw(self, unit: str) -> bytes:
         parts = self.split(unit)
         if not parts or len(parts) == 1:
-            return self.one(unit)
+            return self.one(unit, parts is None)
         return b"".join([self.spaced[p[1:]] if p[:1] == " " and len(p) > 1 else self.raw[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -165,7 +68,7 @@ class LibraryByteUnits:
 class LibraryWordUnits:
     """The same for BPE with word ends that lower-cases and drops white space."""
 
-    def __init__(self, encode: Callable[[str], bytes], split: Callable[[str], list[str] | None], limit: int = 200_000):
+    def __init__(self, encode: Callable[..., bytes], split: Callable[[str], list[str] | None], limit: int = 500_000):
         self.one, self.split = encode, split
         self.words = Kept(self._word, limit)
 
@@ -173,7 +76,7 @@ class LibraryWordUnits:
         x = k.decode()
         parts = self.split(x)
         if not parts or len(parts) == 1:
-            return self.one(x)
+            return self.one(x, parts is None)
         return b"".join([self.words[p.encode()] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -38,11 +38,11 @@ SETTLED = re.compile(f"[\n -~{LETTERS}]*")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def library_encoder(path: str, words: bool = False) -> tuple[Callable[[str], bytes], Callable[[str], list[str] | None]]:
+def library_encoder(path: str, words: bool = False) -> tuple[Callable[..., bytes], Callable[[str], list[str] | None]]:
     """Two functions: a string to the bytes of its ids (little-endian unsigned 32-bit), by the tokenizers library; a string to the matches it may be cut into.
 
-    A single match of plain characters goes straight to the library's model; other strings go
-    through all of its steps and aren't cut.
+    A single match of plain characters goes straight to the library's model (`plain` tells that split
+    gave None, so it isn't asked again); other strings go through all of its steps and aren't cut.
     """
     t = library_tokenizer(path)
     merge, letters = t.model.tokenize, _byte_letters()
@@ -56,8 +56,8 @@ def library_encoder(path: str, words: bool = False) -> tuple[Callable[[str], byt
             return []
         return find(x.lower() if words else x)
 
-    def encode(x: str) -> bytes:
-        parts = split(x)
+    def encode(x: str, plain: bool = False) -> bytes:
+        parts = None if plain else split(x)
         if parts is None or len(parts) == 1:
             if words:
                 x = x.lower()
