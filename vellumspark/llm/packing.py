@@ -109,8 +109,10 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS, last: bool = True)
 def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int, ...] = TIERS, words: bool = False, chunk_ids: int = CHUNK_IDS, step_tokens: int = STEP_TOKENS, keep_units: int = 0) -> DataFrame:
     """Packs the encoded texts of all documents into sequences.
 
-    docs: doc_id, text; other columns are ignored. A null text is empty and gives the `end` id alone
-    (no row without `end`); a null doc_id stays null; repeated rows are packed each. Returns a row
+    docs: doc_id, text; other columns are ignored, whatever their names. A null text is empty and gives
+    the `end` id alone (no row without `end`); a null doc_id stays null; repeated rows are packed each;
+    a very long text is encoded whole, in one task, and cut into windows; an empty table gives no rows;
+    ties between pieces of one length are settled by which came last. Returns a row
     per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset, tier, step_group. A sequence is as long as its tier, but for the last of each task, whose
     tier is the longest and which needs padding. step_group deals the sequences of a tier into groups

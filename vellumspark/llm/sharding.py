@@ -65,15 +65,16 @@ def descend(node: Node, key: Column) -> Column:
 def assign(docs: DataFrame, top: Node, name: str = "shard", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds (or replaces) the column `name` with the shard of each row. Expressions only, no shuffle.
 
-    The key alone decides, so repeated rows share a shard; rows whose key is null are dealt by a hash
-    of their text, and go to one shard if that is null too.
+    The key alone decides, so repeated rows share a shard, and texts of any length cost nothing; rows
+    whose key is null are dealt by a hash of their text, and go to one shard if that is null too. A tie
+    of draws goes to the child first in the tree. An empty table stays empty.
     """
     k = F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text)))
     return docs.withColumn(name, descend(top, k).cast("int"))
 
 
 def with_slots(rows: DataFrame, shard: str = "shard", name: str = "slot", buckets: int = 1024) -> DataFrame:
-    """Adds a number from 0 without gaps within each shard. rows' columns must be orderable.
+    """Adds a number from 0 without gaps within each shard (null is a shard too). rows' columns must be orderable.
 
     Equal rows are counted first and spread again at the end, so many copies of one row aren't
     sorted. The distinct ones are numbered within hash buckets of their shard, and each bucket starts
@@ -86,13 +87,16 @@ def with_slots(rows: DataFrame, shard: str = "shard", name: str = "slot", bucket
     offsets = totals.select(F.col(shard).alias("__s"), F.col("__b").alias("__k"), F.coalesce(before, F.lit(0)).alias("__o"))
     inside = F.sum("__n").over(Window.partitionBy(shard, "__b").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1))
     placed = counted.withColumn("__i", F.coalesce(inside, F.lit(0)))
-    placed = placed.join(offsets, (F.col(shard) == F.col("__s")) & (F.col("__b") == F.col("__k")))
+    placed = placed.join(offsets, F.col(shard).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__k")))
     first = F.col("__o") + F.col("__i")
     return placed.select(*cols, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias(name))
 
 
 def placement(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row; a null text counts as empty."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row; other columns are ignored.
+
+    A null text counts as empty (size 1). Repeated rows have a slot each; an empty table gives an empty one.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = assign(assign(docs.select("doc_id", "text"), tree(shards)), tree(shards + 1), "grown_shard")
     rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "grown_shard")
