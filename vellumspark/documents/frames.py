@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.codecs.columns import decode_stream
 from vellumspark.documents.file import File, filters_of
 from vellumspark.documents.syntax import Name, Ref, Stream, kind_of, references, to_json
 from vellumspark.documents.write import Writer, merge, select_pages, stream
@@ -165,13 +166,34 @@ def merged(docs: DataFrame, group: str, order: list[str], password: bytes = b"")
     return docs.withColumn(group, F.col(group).cast("string")).groupBy(group).applyInArrow(run, "doc_id string, content binary")
 
 
-def built(rows: DataFrame, user: bytes | None = None, owner: bytes = b"", revision: int = 3, aes: bool = False) -> DataFrame:
+def contained(objs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Objects inside object streams by a join: doc_id, obj_num, container, place, source (the object's text).
+
+    objs: objects(); entries: xref(). Each object stream is decoded and its header split into a row per
+    object; entries of type c name the stream and the place in it.
+    """
+    kind = F.try_variant_get("value", "$.Type['$name']", "string")
+    num = lambda c: F.try_variant_get("value", c, "int")
+    streams = objs.where((F.col("kind") == "stream") & (kind == "ObjStm")).withColumn("d", decode_stream(F.col("raw"), F.col("filters"), F.col("params_json"))["data"])
+    held = streams.select("doc_id", F.col("obj_num").alias("container"), num("$.N").alias("n"), num("$.First").alias("first"), "d")
+    # the header is ASCII: number and start of each object; the body begins at `first`
+    head = F.split(F.trim(F.regexp_replace(F.decode(F.substring("d", F.lit(1), F.col("first")), "ISO-8859-1"), r"\s+", " ")), " ")
+    starts = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at(head, i * 2 + 2).cast("int"))
+    held = held.where("n > 0").withColumn("starts", starts).withColumn("end", F.length("d") - F.col("first"))
+    each = held.select("doc_id", "container", "d", "first", "end", "starts", F.posexplode("starts").alias("place", "start"))
+    stop = F.coalesce(F.get("starts", F.col("place") + 1), F.col("end"))
+    each = each.select("doc_id", "container", "place", F.substring("d", F.col("first") + F.col("start") + 1, stop - F.col("start")).alias("source"))
+    listed = entries.where("type = 'c'").select("doc_id", "obj_num", F.col("off").cast("int").alias("container"), F.col("gen").alias("place"))
+    return listed.join(each, ["doc_id", "container", "place"])
+
+
+def built(rows: DataFrame, user: bytes | None = None, owner: bytes = b"", revision: int = 3, aes: bool = False, compact: bool = False) -> DataFrame:
     """doc_id, content: a file made of each row, and nothing else of it is kept.
 
     rows: doc_id (string); texts (array of string): a page each, its content; optionally title, filters
     (array of string) and params_json, the chain that contents are encoded by, boxes (array of array of
     double) and turns (array of int). Null texts give a file without pages. Encrypted if a user password
-    is given. Object 1 is the page tree, 2 the information; page i (from 1) is object 2 i + 2 and its
+    is given; compact puts objects into an object stream instead. Object 1 is the page tree, 2 the information; page i (from 1) is object 2 i + 2 and its
     content the one before; then comes the catalog.
     """
     given = [c for c in ("title", "filters", "params_json", "boxes", "turns") if c in rows.columns]
@@ -187,7 +209,7 @@ def built(rows: DataFrame, user: bytes | None = None, owner: bytes = b"", revisi
                 for k, text in enumerate(r["texts"] or []):
                     body = w.add(stream((text or "").encode(), r.get("filters"), params))
                     w.page((r.get("boxes") or {k: [0, 0, 612, 792]})[k], [body], rotate=r["turns"][k] if r.get("turns") else 0)
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]]), pa.array([w.bytes(user, owner, revision, aes)], pa.binary())], ["doc_id", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]]), pa.array([w.compact_bytes() if compact else w.bytes(user, owner, revision, aes)], pa.binary())], ["doc_id", "content"])
 
     return rows.select("doc_id", "texts", *given).mapInArrow(run, "doc_id string, content binary")
 

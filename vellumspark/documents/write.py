@@ -122,6 +122,31 @@ class Writer:
         self.kids.append(new)
         return new
 
+    def compact_bytes(self) -> bytes:
+        """The file with all objects that aren't streams inside one object stream, behind a cross-reference stream."""
+        catalog = self.add({"Type": Name("Catalog"), "Pages": self.tree})
+        self.put(self.tree, {"Type": Name("Pages"), "Kids": list(self.kids), "Count": len(self.kids)})
+        inside = [n for n, v in sorted(self.objects.items()) if not isinstance(v, Stream)]
+        bodies = [write(self.objects[n]) for n in inside]
+        starts = [0]
+        for b in bodies:
+            starts.append(starts[-1] + len(b) + 1)
+        head = b" ".join(b"%d %d" % x for x in zip(inside, starts, strict=False)) + b" "
+        whole = {n: v for n, v in self.objects.items() if isinstance(v, Stream)}
+        held = max(self.objects) + 1
+        whole[held] = stream(head + b" ".join(bodies), ["FlateDecode"], Type=Name("ObjStm"), N=len(inside), First=len(head))
+        out, entries = bytearray(b"%%PDF-%s\n%%\xe2\xe3\xcf\xd3\n" % b"1.5"), {0: (0, 0, 65535)}
+        entries |= {n: (2, held, i) for i, n in enumerate(inside)}
+        for n in sorted(whole):
+            entries[n] = (1, len(out), 0)
+            out += b"%d 0 obj\n" % n + write(whole[n]) + b"\nendobj\n"
+        at, last = len(out), held + 1
+        entries[last] = (1, at, 0)
+        rows = b"".join(bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(4, "big") for _, (a, b, c) in sorted(entries.items()))
+        more = {"Info": self.info} if self.info else {}
+        table = stream(rows, ["FlateDecode"], [{"Predictor": 12, "Columns": 9}], Type=Name("XRef"), W=[1, 4, 4], Size=last + 1, Root=catalog, **more)
+        return bytes(out + b"%d 0 obj\n" % last + write(table) + b"\nendobj\nstartxref\n%d\n%%%%EOF\n" % at)
+
     def bytes(self, user: bytes | None = None, owner: bytes = b"", revision: int = 3, aes: bool = False) -> bytes:
         """The file; encrypted if a user password (maybe empty) is given."""
         catalog = self.add({"Type": Name("Catalog"), "Pages": self.tree})

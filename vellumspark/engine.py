@@ -35,6 +35,10 @@ class Engine:
     def xref(self) -> DataFrame:
         return frames.xref(self.docs, self.password)
 
+    def contained(self) -> DataFrame:
+        """Objects inside object streams, by a join of the cross-reference entries with the streams' contents."""
+        return frames.contained(self.objects(), self.xref())
+
     def ends(self) -> DataFrame:
         """In-use entries of the newest sections with the offset where each ends."""
         entries = self.xref().where("obj_num is not null").select("doc_id", "obj_num", "type", "off", "gen", "section", (-F.col("section")).alias("age"))

@@ -15,7 +15,7 @@ from vellumspark.operators import graph
 from vellumspark.operators.base import shared_path, stored
 from vellumspark.plans.registry import query
 from vellumspark.sinks.files import write_files
-from vellumspark.sources import data_source
+from vellumspark.sources import bitmaps, data_source
 
 #: Chains that contents are encoded by, one for each remainder of doc_id.
 CHAINS = (["FlateDecode"], ["ASCII85Decode", "LZWDecode"], ["ASCIIHexDecode", "RunLengthDecode"], [], ["LZWDecode"], ["FlateDecode"])
@@ -48,7 +48,7 @@ def _engine(t, **sealed) -> Engine:
 def _texts(e: Engine) -> DataFrame:
     """doc_id, page_no, text of each page's one content."""
     p = e.pages().where("page_no is not null").select("doc_id", "page_no", F.get("contents", 0)["num"].alias("obj_num"))
-    d = e.decoded().select("doc_id", "obj_num", F.decode("data", "UTF-8").alias("text"))
+    d = e.decoded().select("doc_id", "obj_num", F.col("data").cast("string").alias("text"))
     return p.join(d, ["doc_id", "obj_num"]).select("doc_id", "page_no", "text")
 
 
@@ -98,6 +98,44 @@ def file_ends(t):
     return e.select("doc_id", "obj_num", F.col("end_off").isNull().alias("last"), F.coalesce(tail, F.lit(True)).alias("found"))
 
 
+@query(f"""with {LINES_SQL}, o as (select doc, n, unnest([0, 1, 2, 2 * n + 3, 2 * n + 4, 2 * n + 5] || range(3, 2 * n + 3)) as k from n)
+select doc as doc_id, cast(k as int) as obj_num, case when k = 0 then 'f' when k > 2 * n + 3 or (k % 2 = 1 and k between 3 and 2 * n + 2) then 'n' else 'c' end as type, 0 as section from o""")
+def file_xref_streams(t):
+    """Cross-reference streams: objects in use, and those inside an object stream."""
+    return frames.xref(_built(t, compact=True)).select("doc_id", "obj_num", "type", "section")
+
+
+@query(f"""with {LINES_SQL} select doc as doc_id, cast(2 * i + 2 as int) as obj_num, cast(2 * n + 4 as int) as container, cast(i + 1 as int) as place, true as page from pg
+union all select doc, unnest([1, 2, cast(2 * n + 3 as int)]), cast(2 * n + 4 as int), unnest([0, 1, cast(n + 2 as int)]), false from n""")
+def file_contained(t):
+    """Objects inside object streams, found by joining the entries with the streams' contents."""
+    docs = _built(t, compact=True)
+    c = Engine(docs.sparkSession, docs=docs).contained()
+    text = F.decode("source", "ISO-8859-1")
+    return c.select("doc_id", "obj_num", "container", "place", (text.startswith("<<") & F.contains(text, F.lit("/Type /Page\n"))).alias("page"))
+
+
+@query(f"""with {LINES_SQL} select doc as doc_id, cast(i as int) as page_no, l[i] as text from pg""")
+def file_compact_text(t):
+    """Contents of all pages of files with object streams."""
+    return _texts(_engine(t, compact=True))
+
+
+@query("""with b as (select user_id, list(case when event_type = 'click' then 1 else 0 end order by event_id) as bits from events group by user_id),
+p as (select user_id, len(bits) as width, lower(array_to_string(list_transform(regexp_extract_all(rpad(array_to_string(bits, ''), cast(ceil(len(bits) / 8.0) * 8 as int), '0'), '.{8}'), lambda x: printf('%02x', cast(list_reduce(list_transform(string_split(x, ''), lambda c: cast(c as int)), lambda p, q: p * 2 + q) as int))), '')) as h from b)
+select k || user_id as doc_id, cast(width as int) as width, 2 as height, cast(row as int) as row, h as bits from p, (values ('P1-'), ('P4-')) v(k), (values (0), (1)) r(row)""")
+def bitmap_files(t):
+    """Bitmap files, plain and packed, of two equal rows per user, as scanlines."""
+    e = t("events").select("user_id", F.struct("event_id", F.when(F.col("event_type") == "click", 1).otherwise(0).alias("b")).alias("e"))
+    b = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["b"]).alias("bits"))
+    line, packed = F.array_join("bits", ""), fn.pack_bits(F.col("bits"), 1)
+    head = lambda k: F.concat(F.lit(f"{k}\n# two rows\n"), F.size("bits").cast("string"), F.lit(" 2\n"))
+    plain = F.concat(head("P1"), line, F.lit("\n"), line, F.lit("\n")).cast("binary")
+    raw = F.concat(head("P4").cast("binary"), packed, packed)
+    files = b.select(F.concat(F.lit("P1-"), "user_id").alias("doc_id"), plain.alias("content")).union(b.select(F.concat(F.lit("P4-"), "user_id"), raw))
+    return bitmaps.scanlines(files).select("doc_id", "width", "height", "row", fn.to_hex(F.col("bits")).alias("bits"))
+
+
 @query(f"""with {LINES_SQL} select doc as doc_id, cast(i as int) as page_no, l[i] as text from pg""")
 def file_text(t):
     """Contents of all pages, through six chains of filters."""
