@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.blocks import gather, packed, part_edges, risen, rising, runs, spread_out, squeezed, unpacked
-from vellumspark.llm.common import fresh_path, open_store, slices, stored, whole_uri
+from vellumspark.llm.common import fresh_path, open_store, release, slices, stored, whole_uri
 from vellumspark.llm.units import BOUNDARY
 from vellumspark.llm.vocab import rank_file
 
@@ -341,7 +341,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 held.add(b.select(kept), b.column("__text"))
             if held.kept:
                 yield row()
-        pa.default_memory_pool().release_unused()
+        release()
 
     blocks = stored(rows.mapInArrow(cut, "block long, path string, places array<long>, hashes binary, lens binary, data binary, n long"), "bpe-blocks")
     words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
@@ -378,7 +378,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                     cols, size = [[], [], []], 0
             if cols[0]:
                 yield _answers(part, cols)
-            pa.default_memory_pool().release_unused()
+            release()
 
     def _answers(part: int, cols: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([part] * len(cols[0]), pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["block", "part", "lens", "ids"])
@@ -419,7 +419,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                     cols.append(coder.decode_many(made, stops))
                 yield pa.RecordBatch.from_arrays(cols, [*kept, ids, *([decoded] if decoded else [])])
                 at = to
-            pa.default_memory_pool().release_unused()
+            release()
 
     return both.mapInArrow(join, schema)
 

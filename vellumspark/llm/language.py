@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import slices, stored
+from vellumspark.llm.common import release, slices, stored
 
 #: Labelled rows to learn each language from, and the bytes that are learned from a longer one.
 ROWS, MOST_BYTES = 600, 16384
@@ -65,8 +65,9 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
     left out; without any labelled row, the one language is "und", of which every text is.
     """
     known = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring(F.col("text").cast("binary"), 1, MOST_BYTES).alias("b")).where(F.col("lang").isNotNull() & (F.length("b") > 0))
+    # a row per language; the model, which the driver holds, has 65,536 numbers of each
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("k"), F.when(F.col("n") <= SPARE * rows, 1.0).otherwise(SPARE * rows / F.col("n")).alias("share"))
-    near = known.select("lang", "h").join(sizes, F.col("lang") == F.col("k")).where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
+    near = known.select("lang", "h").join(F.broadcast(sizes), F.col("lang") == F.col("k")).where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     least = near.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).select(F.col("lang").alias("l"), F.col("h").alias("g")).distinct()
     least = stored(least, "language-rows")
@@ -102,24 +103,30 @@ def _sums(table: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return np.stack([np.bincount(own[inside], row[places[: len(own)]][inside], len(lens)) for row in table], axis=1).astype(np.float64)
 
 
+def _likelihoods(texts: list[str | None], table: np.ndarray) -> np.ndarray:
+    """Each text's log likelihood under each language, and last under none, less the greatest; zeros for a text without a letter or sign."""
+    made = [_text_bytes(t) for t in texts]
+    lens = np.array([len(x) for x in made])
+    sums = _sums(table, [x if len(x) <= AT_ONCE else b"" for x in made])
+    for i in np.flatnonzero(lens > AT_ONCE).tolist():
+        x = made[i]
+        sums[i] = sum(_sums(table, [x[at : at + AT_ONCE + 2]])[0] for at in range(0, len(x) - 2, AT_ONCE))
+    n = np.maximum(1, lens - 2)
+    sums = np.column_stack([sums, n * NO_TRIPLE])
+    sums *= (MOST_TRIPLES / (MOST_TRIPLES + n))[:, None]
+    sums -= sums.max(axis=1, keepdims=True)
+    sums[lens <= 2] = 0
+    return sums
+
+
 def text_likelihoods(rows: DataFrame, model: Model, text: str = "text", name: str = "likelihood") -> DataFrame:
-    """Adds (or replaces) `name`: an array of the text's log likelihood under each language, and last under none, less the greatest, or zeros for a text without a letter. Whole texts, no shuffle."""
+    """Adds (or replaces) `name`: an array of the text's log likelihood under each language, and last under none, less the greatest, or zeros for a text of white space alone. Whole texts, no shuffle."""
     kept = [c for c in rows.columns if c != name]
     rows = rows.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, text, 1 << 20):
-            made = [_text_bytes(t) for t in b.column(text).to_pylist()]
-            lens = np.array([len(x) for x in made])
-            sums = _sums(model.table, [x if len(x) <= AT_ONCE else b"" for x in made])
-            for i in np.flatnonzero(lens > AT_ONCE).tolist():
-                x = made[i]
-                sums[i] = sum(_sums(model.table, [x[at : at + AT_ONCE + 2]])[0] for at in range(0, len(x) - 2, AT_ONCE))
-            n = np.maximum(1, lens - 2)
-            sums = np.column_stack([sums, n * NO_TRIPLE])
-            sums *= (MOST_TRIPLES / (MOST_TRIPLES + n))[:, None]
-            sums -= sums.max(axis=1, keepdims=True)
-            sums[lens <= 2] = 0
+            sums = _likelihoods(b.column(text).to_pylist(), model.table)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sums.tolist(), pa.list_(pa.float64()))], [*kept, name])
 
     return rows.mapInArrow(run, rows.withColumn(name, F.array(F.lit(0.0))).schema)
@@ -150,33 +157,26 @@ def suffix_of(host: Column) -> Column:
     return F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -1))
 
 
-def _normal(x: Column) -> Column:
-    """Logs to chances."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-
-
-def _match(value: Column, languages: list[str], trust: float) -> Column:
-    """Log chances of a declared value under each language, and last under none; zeros if it is none of them."""
-    n = len(languages)
-    other = float(np.log((1 - trust) / (n - 1))) if n > 1 else -30.0
-    every = F.array(*[F.lit(x) for x in languages])
-    each = F.concat(F.transform(every, lambda x: F.when(value == x, float(np.log(trust))).otherwise(other)), F.array(F.lit(float(-np.log(n)))))
-    return F.when(value.isin(*languages), each).otherwise(F.array_repeat(F.lit(0.0), n + 1))
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Rows of logs to chances."""
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.array(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-
-
-def _smoothed(own: Column, parent: Column) -> Column:
-    """Sums smoothed by SMOOTHING rows that are dealt out like the parent's chances; sums that rounding made negative are none."""
-    whole = _total(own) + SMOOTHING
-    return F.zip_with(own, parent, lambda x, p: (F.greatest(x, F.lit(0.0)) + SMOOTHING * p) / whole)
+def _declared(values: list[str | None], languages: list[str], trust: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log chances of declared values under each language, and last under none, zeros where it is none of them; and where it is one."""
+    n, place = len(languages), {x: i for i, x in enumerate(languages)}
+    at = np.array([place.get(v, -1) for v in values])
+    out = np.zeros((len(at), n + 1))
+    known = at >= 0
+    out[known, :n] = np.log((1 - trust) / (n - 1)) if n > 1 else -30.0
+    out[known, n] = -np.log(n)
+    out[known, at[known]] = np.log(trust)
+    return out, known
 
 
 def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column | None = None, host: Column | None = None, name: str = "language", keep: list[str] | None = None) -> DataFrame:
@@ -194,8 +194,9 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
     known declared language or a known suffix. Null and empty texts are rows without
     text evidence; a very long text is summed in parts; repeated rows are judged alike; ties go to the
     language first in the alphabet; an empty table gives an empty one. Columns of rows (or those of
-    `keep`) may have any names. Each text is scored once: kept columns and likelihoods are written to
-    the shared folder. Priors of up to BROADCAST_HOSTS hosts are broadcast; more are joined by shuffle,
+    `keep`) may have any names. Where the text isn't kept, each is scored once, and kept columns and
+    likelihoods are written to the shared folder; where it is, it is scored twice, for the sums and for
+    the result, as that costs less than another copy of the corpus. Priors of up to BROADCAST_HOSTS hosts are broadcast; more are joined by shuffle,
     where Spark splits hosts of many rows.
     """
     n, langs = len(model.languages), model.languages
@@ -203,36 +204,56 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
     kept = [c for c in (rows.columns if keep is None else keep) if c not in out]
     none = F.lit(None).cast("string")
     held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    said = f"c{kept.index(text)}" if text in kept else "text"
     h = host if host is not None else none
-    base = rows.select(*held, F.col(f"`{text}`").alias("text"), F.when(h != "", h).alias("host"), (markup if markup is not None else none).alias("markup"))
-    base = base.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    scored = stored(text_likelihoods(base, model, "text", "said").drop("text"), "language-texts")
-    # what a row's text says, without the share of no language; nothing without a letter
-    own = F.when(F.col("letters"), F.slice(_normal(F.col("said")), 1, n)).otherwise(F.array_repeat(F.lit(0.0), n))
-    scored = scored.withColumn("own", own)
+    base = rows.select(*held, *([] if text in kept else [F.col(f"`{text}`").alias("text")]), F.when(h != "", h).alias("host"), (markup if markup is not None else none).alias("markup"))
+    base = base.withColumn("letters", F.coalesce(F.col(said).rlike(r"\p{L}"), F.lit(False)))
+    passed = [c for c in base.columns if c != "text"]
+
+    def score(batches: Iterator[pa.RecordBatch]):
+        """What a text says, and its chances without the share of no language; nothing without a letter."""
+        for b in slices(batches, said, 1 << 20):
+            letters = np.asarray(b.column("letters").to_pylist(), bool)
+            logs = _likelihoods(b.column(said).to_pylist(), model.table) * letters[:, None]
+            own = _normal(logs)[:, :n] * letters[:, None]
+            lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (logs, own)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *lists], [*passed, "said", "own"])
+        release()
+
+    none_yet = F.array(F.lit(0.0))
+    scored = base.mapInArrow(score, base.select(*passed, none_yet.alias("said"), none_yet.alias("own")).schema)
+    if text not in kept:
+        scored = stored(scored, "language-texts")
     add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
     hosts = stored(scored.groupBy("host").agg(add("own").alias("sums")).withColumn("domain", domain_of(F.col("host"))), "language-hosts")
     whole = hosts.agg(add("sums").alias("sums")).collect()[0][0]
-    whole = F.array(*[F.lit(float(x or 0.0)) for x in (whole or [0.0] * n)])
+    whole = np.array([x or 0.0 for x in whole or [0.0] * n])
     domains = hosts.where("domain is not null").groupBy(F.col("domain").alias("d")).agg(add("sums").alias("domain_sums"))
     priors = hosts.where("host is not null").join(domains, F.col("domain") == F.col("d"), "left").select(F.col("host").alias("key"), F.col("sums").alias("host_sums"), "domain_sums")
     few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = scored.join(F.broadcast(priors) if few else priors, F.col("host") == F.col("key"), "left")
-
-    less = lambda sums: F.zip_with(sums, F.col("own"), lambda x, y: x - y)
-    joined = joined.withColumn("at_table", F.transform(less(whole), lambda x: F.greatest(x, F.lit(0.0)) + 1.0))
-    joined = joined.withColumn("at_table", F.transform("at_table", lambda x: x / _total(F.col("at_table"))))
-    joined = joined.withColumn("at_domain", F.when(F.col("domain_sums").isNull(), F.col("at_table")).otherwise(_smoothed(less(F.col("domain_sums")), F.col("at_table"))))
-    prior = F.when(F.col("host_sums").isNull(), F.col("at_table")).otherwise(_smoothed(less(F.col("host_sums")), F.col("at_domain")))
-    prior = F.concat(F.transform(prior, lambda x: F.log(x * (1 - NO_LANGUAGE))), F.array(F.lit(float(np.log(NO_LANGUAGE)))))
     country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[F.coalesce(suffix_of(F.col("host")), F.lit(""))]
-    said = F.when(F.col("letters"), F.col("said")).otherwise(F.array_repeat(F.lit(0.0), n + 1))
-    fused = _plus(_plus(prior, said), _plus(_match(F.coalesce("markup", F.lit("")), langs, MARKUP_TRUST), _match(F.coalesce(country, F.lit("")), langs, SUFFIX_TRUST)))
-    evidence = F.col("letters") | F.coalesce(F.col("markup").isin(*langs), F.lit(False)) | F.coalesce(country.isin(*langs), F.lit(False))
-    best = joined.withColumn("fused", fused).withColumn("chances", _normal(F.col("fused")))
-    best = best.withColumn("some", F.slice("chances", 1, n)).withColumn("best", F.array_max("some"))
-    pick = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("some", F.col("best")).cast("int"))
-    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
-    posterior = F.col("best") / _total(F.col("some"))
-    sure = (posterior >= 0.5) & (F.col("chances")[n] < 0.5)
-    return best.select(*back, pick.alias(name), posterior.alias("posterior"), (evidence & sure).alias(f"{name}_kept"))
+    joined = scored.withColumn("country", country).join(F.broadcast(priors) if few else priors, F.col("host") == F.col("key"), "left").drop("host", "key")
+
+    def fuse(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            own, logs = _matrix(b.column("own"), n), _matrix(b.column("said"), n + 1)
+            prior = np.maximum(whole - own, 0.0) + 1.0
+            prior /= prior.sum(axis=1, keepdims=True)
+            for c in ("domain_sums", "host_sums"):
+                held = np.flatnonzero(np.asarray(b.column(c).is_valid()))
+                sums = _matrix(b.column(c).drop_null(), n) - own[held]
+                prior[held] = (np.maximum(sums, 0.0) + SMOOTHING * prior[held]) / (sums.sum(axis=1) + SMOOTHING)[:, None]
+            marked, known = _declared(b.column("markup").to_pylist(), langs, MARKUP_TRUST)
+            placed, named = _declared(b.column("country").to_pylist(), langs, SUFFIX_TRUST)
+            fused = np.column_stack([np.log(prior * (1 - NO_LANGUAGE)), np.full(len(prior), np.log(NO_LANGUAGE))]) + logs + marked + placed
+            chances = _normal(fused)
+            best = chances[:, :n].argmax(axis=1)
+            posterior = chances[np.arange(len(best)), best] / chances[:, :n].sum(axis=1)
+            sure = (posterior >= 0.5) & (chances[:, n] < 0.5) & (np.asarray(b.column("letters").to_pylist(), bool) | known | named)
+            yield pa.RecordBatch.from_arrays([*(b.column(f"c{i}") for i in range(len(kept))), pa.array([langs[i] for i in best.tolist()], pa.string()), pa.array(posterior), pa.array(sure)], [*(f"c{i}" for i in range(len(kept))), "language", "posterior", "kept"])
+        release()
+
+    small = joined.select(*(f"c{i}" for i in range(len(kept))), "letters", "said", "own", "markup", "country", "host_sums", "domain_sums")
+    shape = rows.select(*held).withColumn("language", F.lit("")).withColumn("posterior", F.lit(0.0)).withColumn("kept", F.lit(True)).schema
+    best = small.mapInArrow(fuse, shape)
+    return best.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("language").alias(name), "posterior", F.col("kept").alias(f"{name}_kept"))

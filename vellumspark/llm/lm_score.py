@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.blocks import packed, part_edges, risen, rising, runs, unpacked
-from vellumspark.llm.common import drop_stored, slices, stored
+from vellumspark.llm.common import drop_stored, release, slices, stored
 from vellumspark.llm.words import M1, mix, word_hashes
 
 #: Weight of the unigram estimate in tokens, and of the uniform one in the unigram estimate.
@@ -68,7 +68,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             n = np.array([len(x) for x in lists], np.int64)
             if held and held + int(n.sum()) > BLOCK_WORDS:
                 yield block()
-                pa.default_memory_pool().release_unused()
+                release()
                 ids, counts, target, hashes, held, made = [], [], [], [], 0, made + 1
             ids.append(b.column("doc_id"))
             counts.append(n)

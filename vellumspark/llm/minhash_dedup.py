@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import connected_components, drop_stored, slices, stored
+from vellumspark.llm.common import connected_components, drop_stored, release, slices, stored
 from vellumspark.llm.words import M1, mix, word_hashes
 
 WORDS = 5
@@ -34,7 +34,7 @@ BROADCAST_IDS = 1 << 20
 #: Most rows of counts of mixed buckets that are broadcast (about 8 MB); beyond it, Spark splits hot keys of the joins.
 BROADCAST_ROWS = 1 << 17
 #: Bytes of text that are signed together.
-SIGN_BYTES = 2 << 20
+SIGN_BYTES = 1 << 20
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -160,6 +160,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, name: str) -> DataFrame:
             made = shingles([t or "" for t in b.column("text").to_pylist()], words)
             cols = [pa.array([s.tobytes() for _, s, _ in made], pa.binary()), pa.array([n.astype(np.int32).tobytes() if (n > 1).any() else None for _, _, n in made], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["id", "s", "n"])
+        release()
 
     return stored(texts.select("doc_id", "text").mapInArrow(sets, "id long, s binary, n binary"), f"{name}-sets")
 
@@ -174,6 +175,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: float, words: int, name:
         for b in batches:
             same = [Shingles(x, m).like(Shingles(y, n), least) for x, m, y, n in zip(*(b.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        release()
 
     out = stored(both.select("a", "b", "sa", "na", "sb", "nb").mapInArrow(check, "a long, b long"), f"{name}-links")
     drop_stored(held)
@@ -230,8 +232,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
             odd = [i for i, (_, _, n) in enumerate(made) if (n > 1).any()]
             even = dict(zip(odd, signatures([(made[i][1], np.ones(len(made[i][1]))) for i in odd], size).astype(np.uint32), strict=True))
             cols = [pa.array([k for k, _, _ in made], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([even[i].tobytes() if i in even else None for i in range(len(made))], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, pa.array([len(s) for _, s, _ in made])], ["doc_id", "key", "sig", "even", "size"])
-        pa.default_memory_pool().release_unused()
+            sizes = pa.array([len(s) for _, s, _ in made])
+            del made, sig, even
+            release()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols, sizes], ["doc_id", "key", "sig", "even", "size"])
 
     signed = stored(base.mapInArrow(sign, "doc_id long, key binary, sig binary, even binary, size long"), "doc-signatures")
     classes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("rep")), "doc-classes")
@@ -271,6 +275,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
             held = table.slice(starts[-1]).combine_chunks()
         if held is not None and held.num_rows:
             yield from meet(held)
+        release()
 
     def _starts(table: pa.Table) -> list[int]:
         cols = np.stack([np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("bucket", "i", "j")])

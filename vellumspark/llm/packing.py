@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import slices
+from vellumspark.llm.common import release, slices
 from vellumspark.llm.vocab import library_units
 
 TIERS = (256, 512, 1024, 2048)
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
                     yield from out(False)
         if held:
             yield from out(True)
-        pa.default_memory_pool().release_unused()
+        release()
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     return rows.mapInArrow(run, f"doc_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long")

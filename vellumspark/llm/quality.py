@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import slices, stored
+from vellumspark.llm.common import release, slices, stored
 
 #: Labelled rows of each class to build a dictionary from, rows of each to calibrate on, and the bytes that are learned from a longer text.
 GOOD_ROWS, BAD_ROWS, FIT_ROWS, MOST_BYTES = 1800, 600, 600, 16384
@@ -136,6 +136,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             z = model.prior + np.array([features(t or "") for t in b.column(text).to_pylist()]).reshape(-1, 2) @ w
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p)], [*kept, name])
+        release()
 
     return rows.mapInArrow(run, rows.withColumn(name, F.lit(0.0)).schema)
 
