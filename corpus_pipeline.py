@@ -56,7 +56,9 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         keyed = some.withColumn("key", F.when(named, F.col("doc_id")).otherwise(own)).withColumn("odd", F.col("first").isNotNull() | F.col("doc_id").isNull())
     keyed = keyed.select(*COLUMNS, "key", "odd")
     found = minhash_dedup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"))
-    stay = keyed.join(found.where("kept").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+    kept = found.where("kept").select(F.col("doc_id").alias("key")).distinct()
+    few = kept.limit(minhash_dedup.BROADCAST_IDS + 1).count() <= minhash_dedup.BROADCAST_IDS
+    stay = keyed.join(F.broadcast(kept) if few else kept, "key", "left_semi")
     place = F.row_number().over(Window.partitionBy("key").orderBy(*COLUMNS))
     once = stay.where("odd").withColumn("place", place).where("place = 1")
     return stay.where(~F.col("odd")).select(*COLUMNS).union(once.select(*COLUMNS))
