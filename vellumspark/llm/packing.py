@@ -160,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
                 size += len(x) // 4
                 if size >= chunk_ids:
                     yield from out(False)
+                    release()
         if held:
             yield from out(True)
         release()
