@@ -66,7 +66,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of up to 2048 tokens. Workers have run the other stages before, so the tokenizer's cache is kept small."""
-    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_units=60_000))
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_units=40_000, chunk_ids=1 << 19))
 
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_duplicates", one_of_near_duplicates), ("packing", packed)]
