@@ -61,9 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents labelled good are the target. Losses are rounded to six places."""
+    """Documents labelled good are the target. Losses are rounded to nine places, and the score is their difference."""
     found = lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
-    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+    target, background = F.round("target_loss", 9), F.round("background_loss", 9)
+    return found.select("doc_id", "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (background - target).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,5 +105,5 @@ x as (select g.doc_id, g.len, tg, k, v, t.n0 as all0, t.n1 as all1, u.n0 as w0,
   left join u hu on hu.w = g.h left join ow ha on ha.doc_id = g.doc_id and ha.w = g.h),
 y as (select *, k * (h0 - before) as b0, h1 - before * tg::int as b1, (k * (w0 - own) + {lm_score.UNIFORM}) / (k * (all0 - len) + {lm_score.UNIFORM} * v) as u0, (w1 - own * tg::int + {lm_score.UNIFORM}) / (all1 - len * tg::int + {lm_score.UNIFORM} * v) as u1 from x),
 z as (select doc_id, avg(-ln((k * (p0 - pair) + {lm_score.BACKOFF} * u0) / (b0 + {lm_score.BACKOFF}))) as loss0, avg(-ln((p1 - pair * tg::int + {lm_score.BACKOFF} * u1) / (b1 + {lm_score.BACKOFF}))) as loss1 from y group by doc_id)
-select d.doc_id, cast(len(l) as bigint) as n_tokens, round(coalesce(loss1, 0), 6) as target_loss, round(coalesce(loss0, 0), 6) as background_loss, round(coalesce(loss0 - loss1, 0), 6) as score from d left join z on z.doc_id = d.doc_id""",
+select d.doc_id, cast(len(l) as bigint) as n_tokens, round(coalesce(loss1, 0), 9) as target_loss, round(coalesce(loss0, 0), 9) as background_loss, round(coalesce(loss0, 0), 9) - round(coalesce(loss1, 0), 9) as score from d left join z on z.doc_id = d.doc_id""",
 }
