@@ -1,4 +1,6 @@
 import math
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -348,3 +350,31 @@ def test_exact_lm_of_many_blocks_and_odd_rows(spark, odd_docs, no_docs):
     none = lm_score.cross_entropy_difference(odd_docs, targets.limit(0)).collect()
     near(as_exact(none), exact_losses([(r.doc_id, r.text) for r in odd_docs.collect()], set()))
     assert lm_score.cross_entropy_difference(no_docs, targets).count() == 0
+
+
+def test_lm_frees_the_first_shuffle_before_the_second(spark, monkeypatch):
+    """Of the two shuffles, each about as large as the input, only one lies on the disks at a time."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {int(m[1]) for m in re.finditer(r"shuffle_(\d+)_\d+_\d+\.data", manager.getAllFiles().mkString(" "))}
+
+    docs = spark.createDataFrame([(i, f"some words and word{i} here {i % 7}") for i in range(400)], "doc_id long, text string").repartition(4, "doc_id")
+    found, inner, write = [], lm_score._totals, lm_score.stored
+
+    def totals(*args):
+        before = shuffles()
+        out = inner(*args)
+        found.append(shuffles() - before)
+        return out
+
+    def stored(df, name):
+        if name == "lm-scores":
+            time.sleep(1)
+            found.append(found[0] & shuffles())
+        return write(df, name)
+
+    monkeypatch.setattr(lm_score, "_totals", totals)
+    monkeypatch.setattr(lm_score, "stored", stored)
+    assert lm_score.cross_entropy_difference(docs, docs.select("doc_id").limit(9)).count() == 400
+    assert found[0] and not found[1]

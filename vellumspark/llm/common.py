@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -58,6 +60,14 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files that no plan needs any more go from the executors' disks now: Spark's cleaner finds them when the driver's garbage is collected, which may be half an hour later. What ended just now is found by the second round."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def release() -> None:
     """Gives a worker's unused memory back to the system: workers live on, and what one step leaves lies beside the next one's."""
     pa.default_memory_pool().release_unused()

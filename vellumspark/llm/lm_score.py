@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.blocks import packed, part_edges, risen, rising, runs, unpacked
-from vellumspark.llm.common import drop_stored, release, slices, stored
+from vellumspark.llm.common import drop_shuffles, drop_stored, release, slices, stored
 from vellumspark.llm.words import M1, mix, word_hashes
 
 #: Weight of the unigram estimate in tokens, and of the uniform one in the unigram estimate.
@@ -173,6 +173,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     totals, starts, bits = known[1:3], known[3:5], _bits(known[0])
     scale = (totals[1] / totals[0] if totals[1] else 1.0, 1.0)
     sums = _totals(blocks, known[0])
+    drop_shuffles(spark)  # before the second shuffle, which is as large
     size = sums.where("block = -1").agg(F.coalesce(F.sum("words"), F.lit(0))).collect()[0][0]
     own = ["ids", "counts", "target", "words", "tokens"]
     got = sums.where("block >= 0").select("block", *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in own], "part", F.col("n").alias("more"), F.col("n_target").alias("more_target"))
