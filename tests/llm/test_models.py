@@ -378,3 +378,13 @@ def test_lm_frees_the_first_shuffle_before_the_second(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "stored", stored)
     assert lm_score.cross_entropy_difference(docs, docs.select("doc_id").limit(9)).count() == 400
     assert found[0] and not found[1]
+
+
+def test_kept_texts_pass_one_worker(spark, sf):
+    """Where the text is kept, one step scores and fuses; the sums get no column of the rows but the host."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = language.identify(docs, language.train(docs), "text", None, F.col("source"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    apart = language.identify(docs, language.train(docs), "text", None, F.col("source"), keep=["doc_id"])
+    near = {r.doc_id: r.posterior for r in apart.collect()}
+    assert all(abs(near[r.doc_id] - r.posterior) < 1e-9 for r in found.collect())

@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a Python worker handles at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of rows that Spark sends to a worker at once; its own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark sends workers at most BATCH_BYTES at once: for every running task, the JVM and the worker each hold a batch, and twice while it grows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import release, slices, stored
+from vellumspark.llm.common import release, slices, small_batches, stored
 
 #: Labelled rows to learn each language from, and the bytes that are learned from a longer one.
 ROWS, MOST_BYTES = 600, 16384
@@ -210,19 +210,29 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
     base = base.withColumn("letters", F.coalesce(F.col(said).rlike(r"\p{L}"), F.lit(False)))
     passed = [c for c in base.columns if c != "text"]
 
-    def score(batches: Iterator[pa.RecordBatch]):
-        """What a text says, and its chances without the share of no language; nothing without a letter."""
-        for b in slices(batches, said, 1 << 20):
-            letters = np.asarray(b.column("letters").to_pylist(), bool)
-            logs = _likelihoods(b.column(said).to_pylist(), model.table) * letters[:, None]
-            own = _normal(logs)[:, :n] * letters[:, None]
-            lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (logs, own)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), *lists], [*passed, "said", "own"])
-        release()
+    def says(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """What texts say, and their chances without the share of no language; nothing without a letter."""
+        letters = np.asarray(b.column("letters").to_pylist(), bool)
+        logs = _likelihoods(b.column(said).to_pylist(), model.table) * letters[:, None]
+        return logs, _normal(logs)[:, :n] * letters[:, None]
+
+    def score(columns: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]):
+            for b in slices(batches, said, 1 << 20):
+                lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in says(b)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *lists], [*columns, "said", "own"])
+            release()
+
+        return run
 
     none_yet = F.array(F.lit(0.0))
-    scored = base.mapInArrow(score, base.select(*passed, none_yet.alias("said"), none_yet.alias("own")).schema)
-    if text not in kept:
+    small_batches(base.sparkSession)
+    again = text in kept
+    # a worker's rows go back to Spark whole, so the sums get no column besides their host
+    sent = ["host"] if again else passed
+    scored = base.select(said, "letters", "host") if again else base
+    scored = scored.mapInArrow(score(sent), base.select(*sent, none_yet.alias("said"), none_yet.alias("own")).schema)
+    if not again:
         scored = stored(scored, "language-texts")
     add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
     hosts = stored(scored.groupBy("host").agg(add("own").alias("sums")).withColumn("domain", domain_of(F.col("host"))), "language-hosts")
@@ -232,11 +242,11 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
     priors = hosts.where("host is not null").join(domains, F.col("domain") == F.col("d"), "left").select(F.col("host").alias("key"), F.col("sums").alias("host_sums"), "domain_sums")
     few = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     country = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])[F.coalesce(suffix_of(F.col("host")), F.lit(""))]
-    joined = scored.withColumn("country", country).join(F.broadcast(priors) if few else priors, F.col("host") == F.col("key"), "left").drop("host", "key")
+    joined = (base if again else scored).withColumn("country", country).join(F.broadcast(priors) if few else priors, F.col("host") == F.col("key"), "left").drop("host", "key")
 
     def fuse(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            own, logs = _matrix(b.column("own"), n), _matrix(b.column("said"), n + 1)
+        for b in slices(batches, said, 1 << 20) if again else batches:
+            logs, own = says(b) if again else (_matrix(b.column("said"), n + 1), _matrix(b.column("own"), n))
             prior = np.maximum(whole - own, 0.0) + 1.0
             prior /= prior.sum(axis=1, keepdims=True)
             for c in ("domain_sums", "host_sums"):
@@ -253,7 +263,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: Column |
             yield pa.RecordBatch.from_arrays([*(b.column(f"c{i}") for i in range(len(kept))), pa.array([langs[i] for i in best.tolist()], pa.string()), pa.array(posterior), pa.array(sure)], [*(f"c{i}" for i in range(len(kept))), "language", "posterior", "kept"])
         release()
 
-    small = joined.select(*(f"c{i}" for i in range(len(kept))), "letters", "said", "own", "markup", "country", "host_sums", "domain_sums")
+    small = joined.select(*(f"c{i}" for i in range(len(kept))), "letters", *([] if again else ["said", "own"]), "markup", "country", "host_sums", "domain_sums")
     shape = rows.select(*held).withColumn("language", F.lit("")).withColumn("posterior", F.lit(0.0)).withColumn("kept", F.lit(True)).schema
     best = small.mapInArrow(fuse, shape)
     return best.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("language").alias(name), "posterior", F.col("kept").alias(f"{name}_kept"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import connected_components, drop_stored, release, slices, stored
+from vellumspark.llm.common import connected_components, drop_stored, release, slices, small_batches, stored
 from vellumspark.llm.words import M1, mix, word_hashes
 
 WORDS = 5
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, words: int = WORDS, b
     Similar texts are missed only if they share no band.
     """
     size = bands * rows
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]):

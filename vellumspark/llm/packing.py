@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import release, slices
+from vellumspark.llm.common import release, slices, small_batches
 from vellumspark.llm.vocab import library_units
 
 TIERS = (256, 512, 1024, 2048)
@@ -121,6 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, tiers: tuple[int,
     task keeps. keep_units: encoded units that a worker's cache may hold, where memory is short.
     """
     tail = b"" if end is None else int(end).to_bytes(4, "little")
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     key = rows.schema["doc_id"].dataType.simpleString()
 

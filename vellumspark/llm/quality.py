@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import release, slices, stored
+from vellumspark.llm.common import release, slices, small_batches, stored
 
 #: Labelled rows of each class to build a dictionary from, rows of each to calibrate on, and the bytes that are learned from a longer text.
 GOOD_ROWS, BAD_ROWS, FIT_ROWS, MOST_BYTES = 1800, 600, 600, 16384
@@ -129,6 +129,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """Adds (or replaces) `name`: between 0 and 1, the higher the likelier good. The whole text alone decides; a null text is empty; a text without bytes scores the share of good labels. Repeated rows score alike; an empty table gives an empty one. No shuffle."""
     kept = [c for c in docs.columns if c != name]
     rows = docs.select(*kept)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]):
         features, w = Features(model.good, model.bad), np.array(model.weights)
