@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -194,3 +195,21 @@ def test_empty_tables(no_docs, tmp_path):
     assert byte_bpe.digests(no_docs, RANKS, P.PATTERN).count() == 0
     assert packing.pack(no_docs, BYTES).count() == 0
     assert token_files.round_trip(no_docs, WORDS, True, 1).count() == 0
+
+
+def test_workers_get_few_bytes_at_once(spark):
+    """A batch lies in the JVM and in the worker, for each running task: 24 MB of texts come in several."""
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 5000) as text").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        assert token_files.round_trip(docs, WORDS, True, 1).count() == 600
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < 8 << 20
+    finally:
+        spark.conf.unset(key)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import fresh_path, open_store, slices, stored, whole_uri
+from vellumspark.llm.common import fresh_path, open_store, release, slices, small_batches, stored, whole_uri
 from vellumspark.llm.vocab import library_units
 
 MAGIC = b"VPFOR\x00\x00\x01"
@@ -142,6 +142,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
     which a file ends; one document stays in one file.
     """
     folder = whole_uri(folder)
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     # rows equal in doc_id and text may be dealt out anyhow, so a number of their own lets ranges part them
     rows = rows.repartitionByRange(F.col("doc_id"), F.col("h"), F.rand(3)).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
@@ -163,6 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, words: bool, end: int |
                 f.write(file_bytes(own, counts, np.frombuffer(b"".join(ids), "<u4")))
             row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(own)], "n_ids": [held]})
             ids, own, held, seq = [], [], 0, seq + 1
+            release()
             return row
 
         for b in slices(batches, "text", 1 << 20):
@@ -212,6 +214,8 @@ def read(files: DataFrame) -> DataFrame:
                         held, docs, starts, size = [], [], [], 0
                 if docs:
                     yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "start", "ids"])
+                del file, stops, ids, held, docs, starts
+                release()
 
     return listed.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, ids binary")
 
