@@ -188,3 +188,19 @@ def test_registered_ciphers_and_spaces():
     assert colour.ADDED.pop("DeviceN6") == 6
     with pytest.raises(ValueError):
         colour.register_space("DeviceRGB", 4)
+
+
+def test_bitmap_data_that_looks_like_a_comment():
+    raw = b"#a\nb" + bytes([10, 35, 1, 10, 35, 10])
+    for head in (b"P4\n40 2\n", b"P4\n# note\n40 # more\n2 "):
+        assert bitmap.read_pbm(head + raw).shape == (2, 40) and np.packbits(bitmap.read_pbm(head + raw), axis=1).tobytes() == raw
+    assert (bitmap.read_pbm(b"P1 # 9\n3 2\n1 0 1\n# 1 1\n010\n") == [[1, 0, 1], [0, 1, 0]]).all()
+
+
+def test_bitmap_query_of_bits_that_look_like_a_comment(spark, tmp_path):
+    from vellumspark.plans import QUERIES
+
+    bits = f"{ord('#'):08b}{ord('a'):08b}{ord(chr(10)):08b}"
+    spark.createDataFrame([(i, 7, "click" if b == "1" else "view") for i, b in enumerate(bits)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["bitmap_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.width, r.row, r.bits) for r in rows) == [(f"{k}-7", 24, i, "23610a") for k in ("P1", "P4") for i in (0, 1)]

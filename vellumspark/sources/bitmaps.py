@@ -21,7 +21,7 @@ def scanlines(files: DataFrame) -> DataFrame:
                 n = len(bits)
                 lines = [r.tobytes() for r in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": [doc_id] * n, "width": pa.array([bits.shape[1]] * n, pa.int32()), "height": pa.array([n] * n, pa.int32()), "row": pa.array(range(n), pa.int32()), "bits": pa.array(lines, pa.binary())}
+                    {"doc_id": pa.array([doc_id] * n, pa.string()), "width": pa.array([bits.shape[1]] * n, pa.int32()), "height": pa.array([n] * n, pa.int32()), "row": pa.array(range(n), pa.int32()), "bits": pa.array(lines, pa.binary())}
                 )
 
     return files.select("doc_id", "content").mapInArrow(run, "doc_id string, width int, height int, row int, bits binary")
