@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -117,3 +118,33 @@ def test_columns(spark):
     columns.register(spark)
     r = packed.select(F.hex(columns.fax_encode(F.col("d"), 8)).alias("g4"), F.expr("hex(fax_decode(fax_encode(d, 8, 4), 8, 4))").alias("back")).first()
     assert r.g4 == "238D28008008" and r.back == "7FFE"
+
+
+def test_tiff_predictor_takes_empty_data_and_changes_rows():
+    for colors, bits_, width in ((3, 8, 8), (1, 8, 1), (1, 1, 13), (2, 16, 3)):
+        assert predictor.tiff(b"", colors, bits_, width, False) == b"" == predictor.tiff(b"", colors, bits_, width, True)
+    data = bytes(range(24)) * (predictor.PART // 24 + 2) + b"rest"  # more rows than are taken at once
+    coded = predictor.tiff(data, 3, 8, 8, False)
+    assert coded[:24] == bytes([0, 1, 2] + [3] * 21) and coded != data and predictor.tiff(coded, 3, 8, 8, True) == data
+
+
+def test_tiff_query_takes_empty_texts_and_predicts(spark, tmp_path, monkeypatch):
+    from vellumspark.plans import QUERIES
+
+    spark.createDataFrame([(1, ""), (2, "abc" * 9), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in QUERIES["codec_predictor_tiff"](spark, str(tmp_path)).collect()}
+    assert out[1].back == hashlib.sha256(b"").hexdigest() and out[2].back == hashlib.sha256(b"abc" * 9).hexdigest() and out[1].unread == 0
+    from vellumspark.plans import codecs
+
+    used = []
+    monkeypatch.setattr(codecs, "_round_trip", lambda t, filters, params: used.extend(params))
+    codecs.codec_predictor_tiff(None)
+    p = used[0]
+    assert predictor.encode(b"abc" * 9, 2, p["Colors"], 8, p["Columns"]) != b"abc" * 9  # the stage has an effect
+
+
+def test_png_predictor_in_parts():
+    data = bytes(i * i % 251 for i in range(predictor.PART + 100))
+    for kind in range(10, 16):
+        coded = predictor.png_encode(data, 1, 8, 16, kind)
+        assert coded[: 17 * 4] == predictor.png_encode(data[:64], 1, 8, 16, kind) and predictor.png_decode(coded, 1, 8, 16) == data

@@ -69,7 +69,8 @@ def codec_predictor_png(t):
 
 @query(BACK_SQL)
 def codec_predictor_tiff(t):
-    return _round_trip(t, ["LZWDecode"], [{"Predictor": 2, "Colors": 1, "Columns": 1}])
+    """Rows of eight pixels of three colours, as differences to the pixel before."""
+    return _round_trip(t, ["LZWDecode"], [{"Predictor": 2, "Colors": 3, "Columns": 8}])
 
 
 @query(BACK_SQL)
