@@ -11,14 +11,19 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from vellumspark.documents.file import File, filters_of
 from vellumspark.documents.syntax import Stream, kind_of, to_json
+from vellumspark.operators.base import release
 
 SCHEMA = "doc_id string, obj_num int, gen int, kind string, value_json string, filters array<string>, raw binary"
+ARROW = [("doc_id", pa.string()), ("obj_num", pa.int32()), ("gen", pa.int32()), ("kind", pa.string()), ("value_json", pa.string()), ("filters", pa.list_(pa.string())), ("raw", pa.binary())]
+#: Rows, and bytes of streams, that leave at once.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 1 << 20
 
 
 #: Bytes of files that a partition takes, each file counting as FILE_BYTES at least.
@@ -68,7 +73,9 @@ class Reader(DataSourceReader):
         tests = {"EqualTo": lambda v: n == v, "In": lambda v: n in v, "GreaterThan": lambda v: n > v, "GreaterThanOrEqual": lambda v: n >= v, "LessThan": lambda v: n < v, "LessThanOrEqual": lambda v: n <= v}
         return all(tests[kind](v) for _, kind, v in self.tests)
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        """Batches of few rows: rows alone would wait in the worker until there are 10,000 of them."""
+        arrow, rows, size = pa.schema(ARROW), [], 0
         for path in partition.paths:
             store, name = open_path(path)
             with store.open_input_file(name) as f:
@@ -77,7 +84,18 @@ class Reader(DataSourceReader):
                 if self._wanted(ref.num):
                     v = file.object(ref)
                     s = isinstance(v, Stream)
-                    yield path, ref.num, ref.gen, kind_of(v), json.dumps(to_json(v)), filters_of(v.entries, file.fetch)[0] if s else None, v.raw if s else None
+                    rows.append((path, ref.num, ref.gen, kind_of(v), json.dumps(to_json(v)), filters_of(v.entries, file.fetch)[0] if s else None, v.raw if s else None))
+                    size += len(v.raw) if s else 0
+                    if len(rows) >= ROWS_AT_ONCE or size >= BYTES_AT_ONCE:
+                        yield _batch(rows, arrow)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows, arrow)
+        release()
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
 
 class PageObjects(DataSource):
