@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,15 @@ def dereference(edges: DataFrame, objects: DataFrame, keys: list[str], target: l
     return edges.join(o, on, "left").drop(*[f"__{k}" for k in keys])
 
 
-#: Parts that a hot key of a reference join is split into.
-SALTS = 16
+#: Parts that a hot key of a reference join is split into, and the rows from which on a key is hot.
+SALTS, HOT_ROWS = 16, 10_000
+#: Rows of a side that Spark may send to the driver and to all executors; stored strings are many times their files' size, by which it would decide.
+FEW_ROWS = 50_000
+
+
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """A side of a join that isn't broadcast if it has many rows."""
+    return rows.hint("merge") if n > FEW_ROWS else rows
 
 
 def _spread(rows: DataFrame, by: str) -> DataFrame:
@@ -27,23 +36,40 @@ def _copied(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _joined(many: DataFrame, links: DataFrame, key: str, by: str, n_links: int) -> DataFrame:
+    """many joined to links by `key`. Only keys with HOT_ROWS rows of `many` or more are split, by `by`, so that links are copied for those alone."""
+    hot = stored(many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= HOT_ROWS).select(key), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return many.join(_sized(links, n_links), key)
+    hot = F.broadcast(hot) if n_hot <= FEW_ROWS else hot
+    cold = many.join(hot, key, "left_anti").join(_sized(links, n_links), key)
+    split = _spread(many.join(hot, key, "left_semi"), by).join(_copied(links.join(hot, key, "left_semi")), [key, "__salt"])
+    return cold.unionByName(split.drop("__salt"))
+
+
 def follow(refs: DataFrame, links: DataFrame) -> DataFrame:
     """Follows chains of references (id, at) through links (at, next) to their ends; a cycle ends in null.
 
     Chains of any length: the jump table doubles its reach each round, and once it reaches further
     than there are links, what is still open goes round in a cycle. Each `at` has one link at most.
+    Chains and jumps that have ended aren't carried into later rounds.
     """
-    jump = stored(links.where("at is not null and next is not null").select("at", "next"), "jumps")
-    most, reach, out = jump.count(), 1, refs.select("id", "at", F.lit(True).alias("open"))
+    moving = stored(links.where("at is not null and next is not null").select("at", "next"), "jumps")
+    most, reach, ended, done = moving.count(), 1, None, []
+    out = refs.select("id", "at")
     while True:
-        step = jump.select("at", "next")
-        out = stored(out.join(step, "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("open")), "chains")
-        if not out.where("open").limit(1).count():
-            return out.select("id", "at")
-        if reach > most:
-            return out.select("id", F.when(~F.col("open"), F.col("at")).alias("at"))
+        jump = moving if ended is None else moving.unionByName(ended)
+        out = stored(out.join(_sized(jump, most), "at", "left").select("id", F.coalesce("next", "at").alias("at"), F.col("next").isNotNull().alias("open")), "chains")
+        open_, last = out.where("open").limit(1).count(), reach > most
+        done.append(out.select("id", F.when(~F.col("open"), F.col("at")).alias("at")) if open_ and last else out.where("not open").select("id", "at"))
+        if not open_ or last:
+            return reduce(DataFrame.unionByName, done)
+        out = out.where("open").select("id", "at")
         far = jump.select(F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = stored(jump.join(far, "next", "left").select("at", F.coalesce("far", "next").alias("next")), "jumps")
+        step = stored(moving.join(_sized(far, most), "next", "left").select("at", F.coalesce("far", "next").alias("next"), F.col("far").isNotNull().alias("moves")), "jumps")
+        still = step.where("not moves").select("at", "next")
+        moving, ended = step.where("moves").select("at", "next"), still if ended is None else ended.unionByName(still)
         reach *= 2
 
 
@@ -51,19 +77,21 @@ def closure(edges: DataFrame, starts: DataFrame, root: str = "root", node: str =
     """All (root, node) that edges (src, dst) reach, starts (root, node) included.
 
     Rounds of a frontier join; each round keeps only what wasn't seen, so cycles end, and its result
-    is stored once. As many rounds as the longest shortest path. Edges are stored once, in SALTS
-    copies, so that a node that many roots reach is joined in as many parts.
+    is stored once. As many rounds as the longest shortest path. Edges are stored once; those of a
+    node that many roots reach in one round are joined in SALTS parts.
     """
     front = stored(starts.select(root, node).distinct(), "front")
-    copied = stored(_copied(edges.select("src", "dst").distinct()), "edges")
-    seen = front
+    links = stored(edges.select(F.col("src").alias(node), "dst").distinct(), "edges")
+    seen, n, n_links = front, front.count(), links.count()
+    total = n
     while True:
-        step = copied.withColumnRenamed("src", node)
-        new = _spread(front, root).join(step, [node, "__salt"]).select(root, F.col("dst").alias(node)).distinct()
-        front = stored(new.join(seen, [root, node], "left_anti"), "front")
-        if not front.limit(1).count():
+        step = _joined(front, links, node, root, n_links) if n >= HOT_ROWS else front.join(_sized(links, n_links), node)
+        new = step.select(root, F.col("dst").alias(node)).distinct()
+        front = stored(new.join(_sized(seen, total), [root, node], "left_anti"), "front")
+        n = front.count()
+        if not n:
             return seen
-        seen = seen.unionByName(front)
+        seen, total = seen.unionByName(front), total + n
 
 
 def number(reached: DataFrame, root: str = "root", node: str = "node", first: int = 1) -> DataFrame:
@@ -72,10 +100,10 @@ def number(reached: DataFrame, root: str = "root", node: str = "node", first: in
 
 
 def renumber_edges(edges: DataFrame, ids: DataFrame, root: str = "root", node: str = "node") -> DataFrame:
-    """Edges between reached nodes in new ids: root, src, dst. The second join is by (root, node); the first one splits nodes of many roots."""
-    a = _spread(ids.select(F.col(root), F.col(node).alias("src"), F.col("new_id").alias("new_src")), root)
-    b = ids.select(F.col(root), F.col(node).alias("dst"), F.col("new_id").alias("new_dst"))
-    return _copied(edges).join(a, ["src", "__salt"]).join(b, [root, "dst"]).select(root, F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+    """Edges between reached nodes in new ids: root, src, dst. The second join is by (root, node); the first one splits nodes of many roots. Neither is broadcast."""
+    a = ids.select(F.col(root), F.col(node).alias("src"), F.col("new_id").alias("new_src"))
+    b = ids.select(F.col(root), F.col(node).alias("dst"), F.col("new_id").alias("new_dst")).hint("merge")
+    return _joined(a, edges, "src", root, FEW_ROWS + 1).join(b, [root, "dst"]).select(root, F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
 
 
 def inherit(levels: list[DataFrame], parents: list[str], keys: list[str], attributes: list[str]) -> DataFrame:
