@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clamp_byte(c: Column) -> Column:
@@ -31,36 +37,97 @@ def quantize(value: Column, most: Column | int, low: Column | float, high: Colum
     return F.least(F.greatest(F.floor(F.lit(0.5) + (value - low) * most / (high - low)), F.lit(0)), most).cast("int")
 
 
-def _byte(c: Column, i: Column) -> Column:
-    return F.conv(F.hex(F.substring(c, i + 1, 1)), 16, 10).cast("int")
+#: Samples that are worked on at once.
+AT_ONCE = 1 << 18
 
 
-def unpack_bits(c: Column, bits: int, count: Column | int) -> Column:
-    """Packed samples of 1, 2, 4, 8 or 16 bits, most significant first, as an array of int."""
-    count = F.lit(count) if isinstance(count, int) else count
-    n = F.sequence(F.lit(0), count - 1)
+def _slices(counts: np.ndarray) -> Iterator[slice]:
+    """Rows that have AT_ONCE samples together, or one row."""
+    ends, at = np.cumsum(counts), 0
+    while at < len(counts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)])
+
+
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sample its row and its place there."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - _starts(counts)[rows]
+
+
+def _unpacked(c: pa.Array, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples, and which of them lie behind their row's bytes."""
+    held = np.frombuffer(c.buffers()[2] or b"", np.uint8)
+    offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    ends = np.where(np.asarray(c.is_valid()), offsets[1:], offsets[:-1])
+    rows, k = _places(counts)
+    at = offsets[rows] + k * bits // 8
+    gone = at + max(1, bits // 8) > ends[rows]
+    at[gone] = 0
+    if not len(held):
+        return np.zeros(len(rows), np.int32), gone
+    if bits == 16:
+        at[gone] = -1
+        return held[at].astype(np.int32) * 256 + held[at + 1 - gone], gone
+    return ((held[at] >> (8 - bits - k * bits % 8).astype(np.uint8)) & ((1 << bits) - 1)).astype(np.int32), gone
+
+
+def _unpacker(bits: int):
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def unpack(c: pa.Array, count: pa.Array) -> pa.Array:
+        c, counts = c.cast(pa.binary()), np.maximum(count.fill_null(0).to_numpy(zero_copy_only=False), 0)
+        parts = [pa.array(v, pa.int32(), mask=gone) for x in _slices(counts) for v, gone in [_unpacked(c[x], counts[x], bits)]]
+        return pa.ListArray.from_arrays(pa.array(_starts(counts), pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *parts]))
+
+    return unpack
+
+
+def _packed(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[bytes, np.ndarray]:
+    """The bytes of all rows, and how many each has."""
     if bits == 16:
-        one = lambda i: _byte(c, i * 2) * 256 + _byte(c, i * 2 + 1)
-    elif bits == 8:
-        one = lambda i: _byte(c, i)
-    else:
-        per = 8 // bits
+        return values.astype(">u2").tobytes(), counts * 2
+    per = 8 // bits
+    sizes = -(-counts // per)
+    rows, k = _places(counts)
+    cells = np.zeros(int(sizes.sum()) * per, np.uint8)
+    cells[_starts(sizes)[rows] * per + k] = values
+    return (cells.reshape(-1, per) @ (1 << bits * np.arange(per)[::-1]).astype(np.uint8)).astype(np.uint8).tobytes(), sizes
+
 
-        def one(i: Column) -> Column:
-            shift = (per - 1 - i % per) * bits
-            return F.floor(_byte(c, F.floor(i / per).cast("int")) / F.pow(F.lit(2), shift)).cast("int") % (1 << bits)
+def _packer(bits: int):
+    @F.arrow_udf(T.BinaryType())
+    def pack(samples: pa.Array) -> pa.Array:
+        data, sizes = [], [np.zeros(0, np.int64)]
+        for x in _slices(np.asarray(pc.list_value_length(samples).fill_null(0))):
+            part = samples[x]
+            values, rows = part.flatten(), np.asarray(pc.list_parent_indices(part))
+            known = np.asarray(values.is_valid())  # samples that are null are left out
+            out, n = _packed(values.drop_null().to_numpy(zero_copy_only=False), np.bincount(rows[known], minlength=len(part)), bits)
+            data.append(out)
+            sizes.append(n)
+        offsets = _starts(np.concatenate(sizes)).astype(np.int32)
+        valid = np.packbits(np.asarray(samples.is_valid()), bitorder="little").tobytes()
+        return pa.Array.from_buffers(pa.binary(), len(samples), [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(data))])
 
-    return F.when(count > 0, F.transform(n, one)).otherwise(F.array().cast("array<int>"))
+    return pack
+
+
+_UNPACK, _PACK = ({bits: f(bits) for bits in (1, 2, 4, 8, 16)} for f in (_unpacker, _packer))
+
+
+def unpack_bits(c: Column, bits: int, count: Column | int) -> Column:
+    """Packed samples of 1, 2, 4, 8 or 16 bits, most significant first, as an array of int; null behind the end. Whole Arrow batches at once."""
+    return _UNPACK[bits](c, (F.lit(count) if isinstance(count, int) else count).cast("int"))
 
 
 def pack_bits(samples: Column, bits: int) -> Column:
     """Inverse of unpack_bits; the last byte is filled with zeros. The array's samples are 0..2^bits - 1."""
-    if bits in (8, 16):
-        return F.unhex(F.array_join(F.transform(samples, lambda x: F.lpad(F.hex(x.cast("long")), bits // 4, "0")), ""))
-    text = F.array_join(F.transform(samples, lambda x: F.lpad(F.bin(x.cast("long")), bits, "0")), "")
-    full = F.rpad(text, (F.ceil(F.length(text) / 8) * 8).cast("int"), F.lit("0"))
-    octets = F.filter(F.regexp_extract_all(full, F.lit("([01]{8})"), F.lit(1)), lambda x: x != "")
-    return F.unhex(F.array_join(F.transform(octets, lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")), ""))
+    return _PACK[bits](samples.cast("array<int>"))
 
 
 def decode_samples(samples: Column, bits: int, ranges: list[tuple[float, float]]) -> Column:
