@@ -204,3 +204,12 @@ def test_bitmap_query_of_bits_that_look_like_a_comment(spark, tmp_path):
     spark.createDataFrame([(i, 7, "click" if b == "1" else "view") for i, b in enumerate(bits)], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     rows = QUERIES["bitmap_files"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.width, r.row, r.bits) for r in rows) == [(f"{k}-7", 24, i, "23610a") for k in ("P1", "P4") for i in (0, 1)]
+
+
+def test_password_steps_that_files_share_are_taken_once():
+    from vellumspark.crypto import security
+
+    security.user_of_owner.cache_clear()
+    files = [sample(1, user=b"u", owner=b"o", revision=3, aes=False) for _ in range(3)]
+    assert all(File(f, b"o").pages() for f in files)
+    assert security.user_of_owner.cache_info().hits >= 2
